@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
     """Batches cut so that a piece holds about `most` bytes of text, or one row."""
     for batch in batches:
         start, held = 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         for i, n in enumerate(sizes):
             if held and held + n > most:
                 yield batch.slice(start, i - start)

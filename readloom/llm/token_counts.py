@@ -18,6 +18,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,7 +138,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 4096, id_column: str = "
         m = model(path)
         for batch in sliced(batches):
             column = batch.column("text")
-            n_bytes = pa.compute.binary_length(column).fill_null(0).cast(pa.int64())
+            n_bytes = pc.binary_length(column).fill_null(0).cast(pa.int64())
             n_tokens = pa.array([m.count(t) for t in texts(batch)], pa.int64())
             m.memo.trim()
             yield pa.RecordBatch.from_arrays([batch.column("id"), n_bytes, n_tokens], ["id", "n_bytes", "n_tokens"])
