@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import jpeg_dc, lbl_lm, mixing, quality_crf, simhash, url_cascade
+from readloom.llm import cover_tree, jpeg_dc, lbl_lm, mixing, quality_crf, simhash, url_cascade
 from readloom.llm.bpe_automaton import encode_decode
 from readloom.llm.common import table
 from readloom.llm.token_counts import count_tokens
@@ -35,6 +35,10 @@ def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"), url_cascade.RULES)
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_lm.scored(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_dc.store_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_automaton, op3_quality_crf, op4_mixing, op5_simhash, op6_url_cascade, op8_log_bilinear, op10_jpeg_media)}
-SQL = {"op4_mixing": mixing.SQL, "op6_url_cascade": url_cascade.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_automaton, op3_quality_crf, op4_mixing, op5_simhash, op6_url_cascade, op7_cover_tree, op8_log_bilinear, op10_jpeg_media)}
+SQL = {"op4_mixing": mixing.SQL, "op6_url_cascade": url_cascade.SQL, "op7_cover_tree": cover_tree.SQL}
