@@ -72,11 +72,22 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     with_it = F.col("through") - F.col("rest") < F.col("rest") - F.col("before")
     bound = at.select("s", (F.col("low") + with_it.cast("long")).alias("bound"))
     t = t.join(bound, t["source"].eqNullSafe(bound["s"]), "left").select(F.col("source").alias("of"), "source_size", "target", "times", F.coalesce("bound", F.lit(0)).alias("bound"))
-    out = docs.join(t, docs["source"].eqNullSafe(t["of"]))
+    out = beside(docs, cut(t))
     taken = F.col("size") * (F.col("times") + (F.col("hash") < F.col("bound")).cast("int"))
     return out.select(F.col("id").alias(id_column), "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("times") + (F.col("hash") < F.col("bound")).cast("int")).alias("copies"))
 
 
+def beside(docs: DataFrame, t: DataFrame, few: int = 50_000, salts: int = 64) -> DataFrame:
+    """Documents with their source's row: broadcast if there are few sources, else with each source dealt to
+    many tasks, since one may hold a third of all documents."""
+    same = docs["source"].eqNullSafe(t["of"])
+    if t.count() <= few:
+        return docs.join(F.broadcast(t), same)
+    docs = docs.withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int"))
+    t = t.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return docs.join(t, docs["source"].eqNullSafe(t["of"]) & (docs["salt"] == t["to"]))
+
+
 def apply_mix(df: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The rows of `df`, each as often as the mix takes it. A row's decision depends on its id and
     source alone, so decisions are joined by id; a source's rows without an id share one."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import cover_tree, jpeg_dc, lbl_lm, mixing, quality_crf, simhash, url_cascade
+from readloom.llm import cover_tree, jpeg_dc, lbl_lm, mixing, quality_crf, simhash, training_order, url_cascade
 from readloom.llm.bpe_automaton import encode_decode
 from readloom.llm.common import table
 from readloom.llm.token_counts import count_tokens
@@ -43,9 +43,13 @@ def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl_lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.ordered(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_dc.store_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_automaton, op3_quality_crf, op4_mixing, op5_simhash, op6_url_cascade, op7_cover_tree, op8_log_bilinear, op10_jpeg_media)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_automaton, op3_quality_crf, op4_mixing, op5_simhash, op6_url_cascade, op7_cover_tree, op8_log_bilinear, op9_training_order, op10_jpeg_media)}
 SQL = {"op4_mixing": mixing.SQL, "op6_url_cascade": url_cascade.SQL, "op7_cover_tree": cover_tree.SQL}
