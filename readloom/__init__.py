@@ -1,0 +1 @@
+"""Read-level mixture analytics on Spark."""
