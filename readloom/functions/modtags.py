@@ -47,7 +47,6 @@ def decode_one(mm: str | None, ml: list[int] | None, seq: str | None, reverse: b
     return out
 
 
-@F.pandas_udf(SCHEMA)
 def decode_batch(mm: pd.Series, ml: pd.Series, seq: pd.Series, reverse: pd.Series) -> pd.DataFrame:
     rows = [decode_one(*x) for x in zip(mm, (None if v is None else list(v) for v in ml), seq, reverse)]
     return pd.DataFrame(rows, columns=["h", "m"], dtype=object)
@@ -55,4 +54,4 @@ def decode_batch(mm: pd.Series, ml: pd.Series, seq: pd.Series, reverse: pd.Serie
 
 def modifications(mm: Column, ml: Column, seq: Column, flag: Column) -> Column:
     """struct<h, m> of the two lists. ml: array<int>. An Arrow function, since deltas count along the read."""
-    return decode_batch(mm, ml, seq, flag.bitwiseAND(F.lit(16)) != 0)
+    return F.pandas_udf(decode_batch, SCHEMA)(mm, ml, seq, flag.bitwiseAND(F.lit(16)) != 0)
