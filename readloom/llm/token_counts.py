@@ -117,7 +117,7 @@ class PieceModel:
         if not self.by_word or not self.by_line:
             return self.merge(self.prefix + text.replace(" ", MARK))
         memo = self.memo
-        if MARK in text or "  " in text or not self.prefix:
+        if text[0] == " " or MARK in text or "  " in text or not self.prefix:
             words = re.findall(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+", self.prefix + text.replace(" ", MARK))
         else:
             words = (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
