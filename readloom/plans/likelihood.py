@@ -5,6 +5,8 @@ are counted first; the grid then meets distinct pairs, not reads."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,15 +25,50 @@ def weighed(reads: DataFrame, *groups: str) -> DataFrame:
     return reads.groupBy(*groups, "P_N", "P_ctype").agg(F.count("*").alias("weight"))
 
 
-def grid_likelihood(reads: DataFrame, m_n: float, m_t: float, n_grid: int = 10_000, groups: tuple[str, ...] = ()) -> DataFrame:
+def grid_likelihood(reads: DataFrame, m_n: float, m_t: float, n_grid: int = 10_000, groups: tuple[str, ...] = (), few: int = 20_000) -> DataFrame:
     """(groups, i, theta, ll) for theta = i / n_grid below 1. The grid is exploded beside the distinct pairs and summed in each
-    task before anything moves."""
-    w = weighed(reads, *groups).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
+    task before anything moves; with more than `few` pairs each task adds whole grids as vectors."""
     theta = F.col("i") / F.lit(float(n_grid))
+    w = weighed(reads, *groups)
+    if w.limit(few + 1).count() > few:
+        ll = grid_vectors(w, m_n, m_t, n_grid, groups).groupBy(*groups, "i").agg(F.sum("ll").alias("ll"))
+        return ll.withColumn("theta", theta)
+    w = w.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))))
     ll = w.groupBy(*groups, "i").agg(F.sum(F.col("weight") * ln(mixed(theta, m_n, m_t))).alias("ll"))
     return ll.withColumn("theta", theta)
 
 
+def grid_vectors(w: DataFrame, m_n: float, m_t: float, n_grid: int, groups: tuple[str, ...], held: int = 1000) -> DataFrame:
+    """(groups, i, ll): each task's sums, in blocks of pairs by grid. A task that meets more than `held` groups hands out what
+    it has and goes on."""
+    grid = np.arange(n_grid) / n_grid
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def emit():
+            for key, ll in sums.items():
+                yield pd.DataFrame({g: [k] * n_grid for g, k in zip(groups, key)} | {"i": np.arange(n_grid, dtype=np.int32), "ll": ll})
+            sums.clear()
+
+        for pdf in batches:
+            keys = pdf.groupby(list(groups), dropna=False, sort=False).indices.items() if groups else [((), np.arange(len(pdf)))]
+            for key, at in keys:
+                key = key if isinstance(key, tuple) else (key,)
+                total = sums.setdefault(key, np.zeros(n_grid))
+                for k in range(0, len(at), 64):
+                    x = pdf.iloc[at[k : k + 64]]
+                    p = np.outer(x["P_N"] / m_n, 1 - grid) + np.outer(x["P_ctype"] / m_t, grid)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        total += x["weight"].to_numpy() @ np.where(p <= 0, -np.inf, np.log(p))
+            if len(sums) > held:
+                yield from emit()
+        yield from emit()
+
+    kinds = {f.name: f.dataType.simpleString() for f in w.schema.fields}
+    return w.mapInPandas(run, ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "i int", "ll double"]))
+
+
 def best_on_grid(grid: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
     """(groups, theta, likelihood, fi): the first share of the greatest likelihood, and the population variance of the
     likelihood's first differences. A grid has a bounded number of rows in each group."""

@@ -60,7 +60,7 @@ def finetune(spark: SparkSession, train_dataset: str, output_path: str, test_dat
     """Trains and saves a classifier, with train.csv, eval.csv if there is a test set, and train_param.txt (local paths)."""
     train = tables.reads(spark, train_dataset)
     scorer = Scorer.fit(train, iterations=iterations)
-    scorer.save(f"{output_path}/bert.model")
+    scorer.save(f"{output_path}/read_model")
     acc = evaluate(scorer.transform(train)).first()
     trace = [(s, float(loss), float(acc["ctype_acc"]), 1.0) for s, loss in scorer.trace()]
     tables.write_tsv(spark.createDataFrame(trace, "step int, loss double, ctype_acc double, lr double"), f"{output_path}/train.csv", single=True)
@@ -83,7 +83,7 @@ def deconvolute(spark: SparkSession, model_dir: str, input_data: str, output_pat
     if train_dataset is None:
         parameters = tables.read_parameters(f"{model_dir}/train_param.txt")
         train_dataset = parameters["train_dataset"]
-    scorer = scorer or Scorer.load(f"{model_dir}/bert.model")
+    scorer = scorer or Scorer.load(f"{model_dir}/read_model")
     scored = classify(tables.reads(spark, input_data), scorer).persist()
     tables.write_tsv(scored.drop("P_N"), f"{output_path}/res.csv")
     shares, details = deconvolve(scored, tables.reads(spark, train_dataset), n_grid, adjustment)

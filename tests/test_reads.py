@@ -219,6 +219,15 @@ def test_purity_by_hand(spark):
         deconvolve(df.where("n_cpg > 5"), m)
 
 
+def test_grid_vectors_equal_exploded_grids(spark):
+    rng = random.Random(9)
+    rows = [(p := rng.random(), 1 - p, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "P_ctype double, P_N double, dmr_label int")
+    for groups in ((), ("dmr_label",)):
+        a, b = (sorted(map(tuple, grid_likelihood(df, 0.4, 0.6, 50, groups, few).select(*groups, "i", F.round("ll", 6)).collect())) for few in (1000, 10))
+        assert a == b and len(a) == 50 * 3 ** len(groups)
+
+
 def test_split(spark):
     df = spark.createDataFrame([(i // 3, "TN"[i // 3 % 2], i) for i in range(3000)], "name long, ctype string, i int")
     s = split.split(df, "name", 0.7, 5)
