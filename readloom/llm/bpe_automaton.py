@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import Memo, sliced, texts
 
+#: What a worker keeps: words and their ids, ids and their spelling, and transitions taken.
+WORDS, TRANSITIONS = 400_000, 300_000
 #: The pre-split pattern of byte-level BPE with white space written out.
 SPACES = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
@@ -60,8 +62,8 @@ class Automaton:
         self.before = Memo(self.path_of_arcs, words=1 << 30)
         self.table: dict[int, bool] = {}
         self.prefixes = {label[:i] for label in self.ids for i in range(1, len(label))}
-        self.memo = Memo(self.encode_word)
-        self.spelled = Memo(self.decode_ids)
+        self.memo = Memo(self.encode_word, words=WORDS)
+        self.spelled = Memo(self.decode_ids, words=WORDS)
 
     def gadget(self, time: int, u: int, v: int, w: int) -> None:
         self.state_fork.setdefault(w, (v, time))
@@ -126,7 +128,7 @@ class Automaton:
 
     def encode_word(self, word: str) -> str:
         """A word's ids, joined by commas."""
-        if len(self.table) > 4_000_000:
+        if len(self.table) > TRANSITIONS:
             self.table.clear()
         return ",".join(map(str, self.tokens(word.encode())))
 

@@ -51,7 +51,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return batch.column(column).fill_null("").to_pylist()
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a piece holds about `most` bytes of text, or one row."""
     for batch in batches:
         start, held = 0, 0
