@@ -50,14 +50,15 @@ class Automaton:
 
     def __init__(self, labels: dict[int, bytes], merges: list[tuple[int, int, int]]):
         self.labels = labels
-        self.ids = {label: t for t, label in labels.items()}
         #: Arcs taken from the state after a token: {token: time}.
         self.removed: dict[int, dict[int, int]] = {}
         #: The state after a token began as a copy of that after another; its arc as a copy of another's.
         self.state_fork: dict[int, tuple[int, int]] = {}
         self.arc_fork: dict[int, tuple[int, int]] = {}
+        self.dead: set[int] = set()
         for time, (u, v, w) in enumerate(merges):
             self.gadget(time, u, v, w)
+        self.ids = {label: t for t, label in labels.items() if t not in self.dead}
         self.after = Memo(self.path_of_states, words=1 << 30)
         self.before = Memo(self.path_of_arcs, words=1 << 30)
         self.table: dict[int, bool] = {}
@@ -66,9 +67,14 @@ class Automaton:
         self.spelled = Memo(self.decode_ids, words=WORDS)
 
     def gadget(self, time: int, u: int, v: int, w: int) -> None:
-        self.state_fork.setdefault(w, (v, time))
-        self.arc_fork.setdefault(w, (u, time))
-        self.removed.setdefault(u, {}).setdefault(v, time)
+        """A merge whose two arcs never follow each other adds nothing: its token is on no path."""
+        if w in self.arc_fork:
+            raise ValueError("two merges make the same token")
+        if u in self.dead or v in self.dead or not self.follows(self.path_of_states((u,)), self.path_of_arcs((v,))):
+            self.dead.add(w)
+            return
+        self.state_fork[w], self.arc_fork[w] = (v, time), (u, time)
+        self.removed.setdefault(u, {})[v] = time
 
     def path_of_states(self, key: tuple[int]) -> list[tuple[dict, int]]:
         """The states whose removals hold after a token, each with the time up to which."""
@@ -95,12 +101,14 @@ class Automaton:
         """Whether the state after `last` has an arc `token`."""
         key = last << 32 | token
         if (known := self.table.get(key)) is None:
-            arcs = self.before[(token,)]
-            # A state copied at a time has what was removed before it; an arc copied at a time shares what was removed up to it.
-            known = not any(removed.get(arc, 1 << 61) < until and removed[arc] <= upto for removed, until in self.after[(last,)] for arc, upto in arcs)
-            self.table[key] = known
+            known = self.table[key] = self.follows(self.after[(last,)], self.before[(token,)])
         return known
 
+    @staticmethod
+    def follows(states: list[tuple[dict, int]], arcs: list[tuple[int, int]]) -> bool:
+        """A state copied at a time has what was removed before it; an arc copied at a time shares what was removed up to it."""
+        return not any(removed.get(arc, 1 << 61) < until and removed[arc] <= upto for removed, until in states for arc, upto in arcs)
+
     def tokens(self, word: bytes) -> list[int]:
         """The path that spells a word. From each state the arcs that fit are tried, the longest
         label first. No two paths reach the same place, so a place once left is never tried again."""
