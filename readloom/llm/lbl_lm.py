@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -129,14 +129,14 @@ class LogBilinear:
         """Noise-contrastive estimation. counts: of pairs, before by symbol. The noise is the symbols' own
         frequencies; objective and gradient are expectations over all pairs and all noise, in blocks. prior:
         pairs added after each symbol, spread by frequency, which hold rare contexts to the frequencies."""
-        total = counts.sum()
+        total = float(counts.sum(dtype=np.float64))
         if not total:
             return self
-        q = ((counts.sum(0) + 1) / (total + len(counts))).astype(np.float32)
+        q = ((counts.sum(0, dtype=np.float64) + 1) / (total + len(counts))).astype(np.float32)
         self.bias = np.log(q)
         counts = counts + np.float32(prior) * q
-        total = counts.sum(dtype=np.float64)
-        shift, n = np.log(noise * q), (counts / total).astype(np.float32)
+        total = float(counts.sum(dtype=np.float64))
+        shift, n = np.log(noise * q), counts / np.float32(total)
         parts = [self.vectors, self.context, self.bias]
         first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
         for step in range(1, steps + 1):
@@ -221,7 +221,7 @@ class Scorer:
         return n, add(known).astype(np.int64), add(log), add(lm), other
 
 
-def score_texts(df: DataFrame, training: DataFrame, words: int = 1535, classes: int = 512, width: int = 32, frequent: int = 400_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, training: DataFrame, words: int = 1023, classes: int = 512, width: int = 32, frequent: int = 200_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of `df`, with a model of `training`.
     Null and empty texts have one token, their end. base_score: add-one counts of single tokens; score: the
     model. Repeated rows stay repeated. Without training texts all counts are 0 and the model is uniform.
@@ -232,25 +232,26 @@ def score_texts(df: DataFrame, training: DataFrame, words: int = 1535, classes:
     training = training.select(F.col(text_column).alias("text"))
     counts = cut(token_counts(training))
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # The least count that no more than `frequent` words reach, by a histogram of up to 100,000 bars.
-    bars = sorted(counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().collect(), reverse=True)
-    least, held = 100_001, 0
-    for c, n in bars:
+    # Bars of a histogram by the logarithm of the count: the last ones that together hold no more than `frequent` words.
+    bar = F.floor(F.ln("c") * 50)
+    least, held = 1 << 30, 0
+    for c, n in sorted(counts.groupBy(bar.alias("bar")).count().collect(), reverse=True):
         if held + n > frequent:
             break
         least, held = c, held + n
-    top = counts.where(F.col("c") >= least).toPandas()
-    top = dict(sorted(zip(map(bytes, top["token"]), top["c"].tolist()), key=lambda x: (-x[1], x[0])))
-    v = Vocabulary([w for w in top if w != END][:words], classes)
+    top = counts.where(bar >= least).orderBy(F.desc("c"), "token").toArrow()
+    top = dict(zip(top.column("token").to_pylist(), top.column("c").to_pylist()))
+    v = Vocabulary([w for w in islice(top, words + 1) if w != END][:words], classes)
     own = spark.createDataFrame([(bytearray(w),) for w in [END, *v.words]], "token binary")
     of_class = (F.crc32(F.expr(f"substring(token, -{SUFFIX}, {SUFFIX})")) % classes).cast("int")
     rest = counts.join(F.broadcast(own), "token", "left_anti").groupBy(of_class.alias("k")).agg(F.sum("c"), F.count("*")).collect()
     class_tokens = np.ones(classes)
     for k, c, n in rest:
         class_tokens[k] = c + n + 1
-    pairs = pair_counts(training, v).toPandas()
+    pairs = pair_counts(training, v).toArrow()
     matrix = np.zeros(v.size * v.size, np.float32)
-    matrix[pairs["pair"].to_numpy(np.int64)] = pairs["n"]
+    matrix[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    del pairs
     model = LogBilinear(v.size, width).fit(matrix.reshape(v.size, v.size))
     shared = spark.sparkContext.broadcast(Scorer(model, v, top, class_tokens))
 
@@ -281,7 +282,7 @@ def score_texts(df: DataFrame, training: DataFrame, words: int = 1535, classes:
     source = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     schema = f"row long, token binary, times long, id {df.schema[id_column].dataType.simpleString()}, n long, known long, log double, lm double"
     parts = source.mapInArrow(run, schema)
-    rare = counts.where(F.col("c") < least)
+    rare = counts.where(bar < least)
     log = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)
     sums = parts.join(rare, "token", "left").groupBy("row").agg(
         F.max("id").alias("id"), F.max("n").alias("n"), F.max("known").alias("known"), F.max("log").alias("log"), F.max("lm").alias("lm"),
