@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions.let import let
 from readloom.llm.common import components, cut
 
 #: Bounds within this of the threshold are left to the cosine itself.
@@ -32,12 +33,16 @@ BLOCK, PIVOTS, ALL_PIVOTS = 2048, 64, 16384
 def unit(v: Column) -> Column:
     """The vector in doubles with a length of 1; null if it is null, empty, zero or has a component that is
     null or not finite."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    fine = F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    most = F.array_max(F.transform(d, lambda x: F.abs(x)))  # taken out first, so that squares neither vanish nor overflow
-    even = F.transform(d, lambda x: x / most)
-    length = F.sqrt(F.aggregate(even, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(F.coalesce(fine, F.lit(False)) & (most > 0), F.transform(even, lambda x: x / length))
+
+    def scaled(d: Column) -> Column:
+        fine = F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        most = F.array_max(F.transform(d, lambda x: F.abs(x)))  # taken out first, so that squares neither vanish nor overflow
+        return F.when(F.coalesce(fine, F.lit(False)) & (most > 0), let(most, lambda m: let(F.transform(d, lambda x: x / m), normal)))
+
+    def normal(e: Column) -> Column:
+        return let(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(e, lambda x: x / n))
+
+    return let(F.transform(v, lambda x: x.cast("double")), scaled)
 
 
 def apart(c: np.ndarray) -> np.ndarray:
