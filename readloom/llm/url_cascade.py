@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions.let import let
 from readloom.llm.common import cut, lower_ascii
 
 #: A rule list beyond this many keys isn't broadcast; the keys are then joined with it.
@@ -34,12 +35,15 @@ def path_of(url: Column) -> Column:
 
 def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
     """All candidate keys, the longest first, the smallest by code points among equals."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    suffixes = F.filter(suffixes, lambda s: s != "")
-    prefixes = F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.concat(s, p))))
-    return F.array_sort(F.array_distinct(keys), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda p: p.isNotNull())
+
+    def suffixes(labels: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        return F.filter(every, lambda s: s != "")
+
+    keys = let(prefixes, lambda ps: F.flatten(F.transform(let(F.split(host, r"\."), suffixes), lambda s: F.transform(ps, lambda p: F.concat(s, p)))))
+    longest_first = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    return F.array_sort(F.array_distinct(keys), longest_first)
 
 
 class Bloom:
