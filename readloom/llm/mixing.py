@@ -44,13 +44,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return s.select("source", "source_size", F.least(F.col("cap"), F.max("level").over(every) * F.col("weight")).alias("target"))
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """(id, size, source_size, target, taken) for every row. A row is taken a whole number of times;
-    within a source rows of smaller hash are taken once more than the others, so that what is
-    taken is as near to the target as whole documents allow (on a tie, the less). Rows of one id hash
-    alike and are taken alike; null is a source of its own; an empty table gives no rows.
-    Reruns agree, since a hash depends on nothing but the id."""
-    docs = cut(df.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words_in(F.col(text_column)).alias("size"), hashed(id_column).alias("hash")))
+def thresholds(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """(of, source_size, target, times, bound) for each source `of`: its documents are taken so many times, and once more
+    below the bound. docs: (source, size, hash)."""
     t = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     t = cut(t.withColumn("times", times).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")))
@@ -71,33 +67,43 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     # The last bucket is one hash: it is taken if that comes nearer.
     with_it = F.col("through") - F.col("rest") < F.col("rest") - F.col("before")
     bound = at.select("s", (F.col("low") + with_it.cast("long")).alias("bound"))
-    t = t.join(bound, t["source"].eqNullSafe(bound["s"]), "left").select(F.col("source").alias("of"), "source_size", "target", "times", F.coalesce("bound", F.lit(0)).alias("bound"))
-    out = beside(docs, cut(t))
-    taken = F.col("size") * (F.col("times") + (F.col("hash") < F.col("bound")).cast("int"))
-    return out.select(F.col("id").alias(id_column), "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("times") + (F.col("hash") < F.col("bound")).cast("int")).alias("copies"))
+    t = t.join(bound, t["source"].eqNullSafe(bound["s"]), "left")
+    return cut(t.select(F.col("source").alias("of"), "source_size", "target", "times", F.coalesce("bound", F.lit(0)).alias("bound")))
 
 
-def beside(docs: DataFrame, t: DataFrame, few: int = 50_000, salts: int = 64) -> DataFrame:
-    """Documents with their source's row: broadcast if there are few sources, else with each source dealt to
-    many tasks, since one may hold a third of all documents."""
-    same = docs["source"].eqNullSafe(t["of"])
+def beside(docs: DataFrame, t: DataFrame, source: str = "source", hash_: str = "hash", few: int = 50_000, salts: int = 64) -> DataFrame:
+    """Documents with their source's row of `t` in a column mix: broadcast if there are few sources, else with each source dealt
+    to many tasks, since one may hold a third of all documents."""
+    t = t.select(F.struct(*t.columns).alias("mix"))
+    same = docs[source].eqNullSafe(F.col("mix.of"))
     if t.count() <= few:
         return docs.join(F.broadcast(t), same)
-    docs = docs.withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int"))
     t = t.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return docs.join(t, docs["source"].eqNullSafe(t["of"]) & (docs["salt"] == t["to"]))
-
-
-def apply_mix(df: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows of `df`, each as often as the mix takes it. A row's decision depends on its id and
-    source alone, so decisions are joined by id; a source's rows without an id share one."""
-    if "source" not in df.columns:
-        raise ValueError("a column source is needed")
-    docs = df.select(id_column, "source", "text")
-    m = mix(docs, id_column=id_column, **options)
-    ids = m.select(F.col(id_column).alias("i"), "copies").distinct()
-    joined = df.join(ids, df[id_column].eqNullSafe(ids["i"]))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).where("copies > 0").select(*df.columns)
+    return docs.join(t, same & (F.pmod(docs[hash_], F.lit(salts)) == t["to"])).drop("to")
+
+
+def slim(df: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    return cut(df.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words_in(F.col(text_column)).alias("size"), hashed(id_column).alias("hash")))
+
+
+def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """(id, size, source_size, target, taken, copies) for every row. A row is taken a whole number of times;
+    within a source rows of smaller hash are taken once more than the others, so that what is
+    taken is as near to the target as whole documents allow (on a tie, the less). Rows of one id hash
+    alike and are taken alike; null is a source of its own; an empty table gives no rows.
+    Reruns agree, since a hash depends on nothing but the id."""
+    docs = slim(df, id_column, text_column, source_column)
+    out = beside(docs, thresholds(docs, weights, share, most))
+    copies = F.col("mix.times") + (F.col("hash") < F.col("mix.bound")).cast("int")
+    return out.select(F.col("id").alias(id_column), "size", "mix.source_size", "mix.target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
+
+
+def apply_mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The rows of `df`, each as often as the mix takes it: a filter by the thresholds, so that texts aren't moved."""
+    t = thresholds(slim(df, id_column, text_column, source_column), weights, share, most)
+    rows = df.select(F.struct(*df.columns).alias("doc"), F.col(source_column).alias("source"), hashed(id_column).alias("hash"))
+    out = beside(rows, t).withColumn("copies", F.col("mix.times") + (F.col("hash") < F.col("mix.bound")).cast("int"))
+    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 SQL = r"""

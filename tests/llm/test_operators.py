@@ -167,8 +167,10 @@ def test_mixing(spark, hard, docs):
         assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max()
     assert abs(got.groupby("source")["target"].first().sum() - 1.5 * got["size"].sum()) < 1e-6
     assert mixing.mix(hard.limit(0)).count() == 0
-    salted = mixing.beside(common.cut(mixing.mix(docs).withColumn("hash", F.col("doc_id")).withColumn("source", F.lit("x"))), spark.createDataFrame([("x", 1)], "of string, k int"), few=0)
-    assert salted.count() == docs.count()
+    slim = mixing.slim(docs, "doc_id", "text", "source")
+    t = mixing.thresholds(slim, (3, 1, 2), 1.5, 2.0)
+    few, many = (sorted(map(repr, mixing.beside(slim, t, few=n).collect())) for n in (50_000, 0))
+    assert few == many and len(few) == docs.count()
 
 
 def slow_fingerprint(text):
