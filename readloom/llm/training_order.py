@@ -127,38 +127,67 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(rows: DataFrame, uri: str, n: int, per_shard: int, stride: int) -> DataFrame:
-    """Writes sequences that come in the order of their slots, and gives a row for each. Rows: slot, tokens and others."""
-    kept = [f for f in rows.schema.fields if f.name != "tokens"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", shard int, byte_offset long, crc32 long"
+#: What a sequence has beside its tokens, in the blocks that go to a shard.
+ABOUT = "slot, ordinal, n_tokens, n_docs, first_id"
 
-    def run(batches):
-        fs, base = store(uri)
-        fs.create_dir(base, recursive=True)
-        shard, out, name, skip = -1, None, "", False
 
-        def close():
-            if out is not None:
-                out.close()
-                fs.move(name, f"{base}/{shard_name(shard)}")
+def blocks(rows: DataFrame, order: Permutation, per_shard: int) -> DataFrame:
+    """(shard, tokens, slot, ordinal, n_tokens, n_docs, first_id): what a batch has for each shard, tokens compressed together, the
+    rest as arrays. rows: (ordinal, n_tokens, n_docs, first_id, tokens)."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches):
+        import zstandard
 
+        squeeze = zstandard.ZstdCompressor(level=5)
         for batch in batches:
-            slots = batch.column("slot").to_numpy()
+            slot = order.walk(batch.column("ordinal").to_numpy())
+            by = np.argsort(slot, kind="stable")
+            shard = slot[by] // per_shard
+            edges = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(by)]
+            batch, slot = batch.take(pa.array(by)), slot[by]
             tokens = batch.column("tokens").to_pylist()
-            for s in np.unique(slots // per_shard).tolist():
-                if s != shard:
-                    close()
-                    shard, name = s, f"{base}/.{shard_name(s)}.{uuid.uuid4().hex}"
-                    there = fs.get_file_info(f"{base}/{shard_name(s)}")
-                    skip = there.size == min(per_shard, n - s * per_shard) * stride
-                    out = None if skip else fs.open_output_stream(name)
-                if out is not None:
-                    out.write(b"".join(t for t, k in zip(tokens, slots // per_shard) if k == s))
-            extra = [pa.array(slots // per_shard, pa.int32()), pa.array(slots % per_shard * stride, pa.int64()), pa.array(map(zlib.crc32, tokens), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *extra], [*(f.name for f in kept), "shard", "byte_offset", "crc32"])
-        close()
-
-    return rows.mapInArrow(run, schema)
+            cuts = pa.array(edges, pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, c) for c in (pa.array(slot), *(batch.column(n) for n in ("ordinal", "n_tokens", "n_docs", "first_id")))]
+            packs = [squeeze.compress(b"".join(tokens[a:z])) for a, z in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]], pa.int32()), pa.array(packs, pa.binary()), *lists], ["shard", "tokens", *ABOUT.split(", ")])
+
+    arrays = ", ".join(f"{n} array<{kinds.get(n, 'bigint')}>" for n in ABOUT.split(", "))
+    return rows.mapInArrow(run, f"shard int, tokens binary, {arrays}")
+
+
+def write_shards(dealt: DataFrame, uri: str, n: int, per_shard: int, stride: int) -> DataFrame:
+    """Writes the shards, of which a partition has all blocks of one, and gives a row for each sequence. A shard is put together
+    in memory, per_shard * stride bytes."""
+    kinds = {f.name: f.dataType.simpleString().removeprefix("array<").removesuffix(">") for f in dealt.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ABOUT.split(", ")) + ", shard int, byte_offset long, crc32 long"
+
+    def run(batches):
+        import zstandard
+
+        expand, shards = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for k, s in enumerate(batch.column("shard").to_pylist()):
+                if s not in shards:
+                    size = min(per_shard, n - s * per_shard)
+                    shards[s] = np.zeros((size, stride), np.uint8), []
+                places = batch.column("slot")[k].values.to_numpy() - s * per_shard
+                shards[s][0][places] = np.frombuffer(expand.decompress(batch.column("tokens")[k].as_py()), np.uint8).reshape(-1, stride)
+                shards[s][1].append([batch.column(c)[k].values for c in ABOUT.split(", ")])
+        for s, (data, about) in shards.items():
+            fs, base = store(uri)
+            fs.create_dir(base, recursive=True)
+            if fs.get_file_info(f"{base}/{shard_name(s)}").size != data.size:
+                name = f"{base}/.{shard_name(s)}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(name) as out:
+                    out.write(data.data)
+                fs.move(name, f"{base}/{shard_name(s)}")
+            columns = [pa.concat_arrays(c) for c in zip(*about)]
+            place = columns[0].to_numpy() - s * per_shard
+            extra = [pa.array(np.full(len(place), s), pa.int32()), pa.array(place * stride), pa.array([zlib.crc32(data[p].data) for p in place], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *extra], [*ABOUT.split(", "), "shard", "byte_offset", "crc32"])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def materialise(df: DataFrame, path: str, pattern: str, uri: str, key: int = 20, length: int = 1024, per_shard: int = 16384, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -178,18 +207,11 @@ def materialise(df: DataFrame, path: str, pattern: str, uri: str, key: int = 20,
     order = Permutation(n, key)
     at = spark.createDataFrame(starts, "file string, start long")
 
-    def to_slots(batches):
-        for batch in batches:
-            slots = order.walk(batch.column("ordinal").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(slots), *batch.columns], ["slot", *batch.schema.names])
-
     numbered = rows.withColumn("file", file).withColumn("row", F.col("_metadata.row_index")).join(F.broadcast(at), "file")
     numbered = numbered.select((F.col("start") + F.col("row")).alias("ordinal"), "n_tokens", "n_docs", "first_id", "tokens")
-    schema = "slot long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema.fields)
-    slotted = numbered.mapInArrow(to_slots, schema)
     shards = max(1, -(-n // per_shard))
-    # Slots are evenly spread, so ranges of equal width need no sampling.
-    dealt = slotted.repartition(shards, F.expr(f"slot div {per_shard}")).sortWithinPartitions("slot")
+    # Slots are evenly spread: each range of equal width is a partition, without sampling or hashing.
+    dealt = blocks(numbered, order, per_shard).repartitionById(shards, F.col("shard"))
     out = cut(write_shards(dealt, uri, n, per_shard, 2 * length))
     spark._jvm.org.apache.hadoop.fs.Path(stage).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
     return out
