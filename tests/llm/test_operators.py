@@ -332,6 +332,14 @@ def test_language_model_beats_single_tokens(spark):
     assert (got["score"] > got["base_score"]).mean() > 0.9
 
 
+def test_language_model_has_1535_words_of_its_own(spark, monkeypatch):
+    made, make = [], lbl_lm.Vocabulary.__init__
+    monkeypatch.setattr(lbl_lm.Vocabulary, "__init__", lambda self, *a: made.append(self) or make(self, *a))
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(2000))) for i in range(3)], "doc_id long, text string")
+    lbl_lm.score_texts(df, df)
+    assert len(made[0].words) == 1535 and made[0].size == 2048
+
+
 def test_log_bilinear_is_normalised_and_learns():
     n = np.zeros((6, 6), np.float32)
     for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 0)):
