@@ -239,7 +239,8 @@ def score_texts(df: DataFrame, training: DataFrame, words: int = 1535, classes:
         if held + n > frequent:
             break
         least, held = c, held + n
-    top = counts.where(bar >= least).orderBy(F.desc("c"), "token").toArrow()
+    # The end is in every text and never joined, so its count is broadcast whatever its bar.
+    top = counts.where((bar >= least) | (F.length("token") == 0)).orderBy(F.desc("c"), "token").toArrow()
     top = dict(zip(top.column("token").to_pylist(), top.column("c").to_pylist()))
     v = Vocabulary([w for w in islice(top, words + 1) if w != END][:words], classes)
     own = spark.createDataFrame([(bytearray(w),) for w in [END, *v.words]], "token binary")

@@ -340,6 +340,18 @@ def test_language_model_has_1535_words_of_its_own(spark, monkeypatch):
     assert len(made[0].words) == 1535 and made[0].size == 2048
 
 
+def test_language_model_counts_ends_below_the_bar(spark):
+    """Few long texts: more frequent words than are broadcast, all of them above the end."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(10)) + " w0" * 5) for i in range(2)], "doc_id long, text string")
+    c = {**{f"w{j}": 2 for j in range(1, 10)}, "w0": 12, "": 2}
+    n = sum(c.values())
+    for frequent in (0, 1, 3, 100):
+        for r in lbl_lm.score_texts(df, df, words=5, classes=4, width=4, frequent=frequent).collect():
+            assert (r.n_tokens, r.n_known) == (16, 16)
+            expected = sum(math.log10(c[w] + 1) * (6 if w == "w0" else 1) for w in c) - 16 * math.log10(n + len(c) + 1)
+            assert abs(r.base_score - expected) < 1e-9
+
+
 def test_log_bilinear_is_normalised_and_learns():
     n = np.zeros((6, 6), np.float32)
     for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 0)):
