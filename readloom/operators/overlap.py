@@ -38,17 +38,35 @@ def contained_binned(reads: DataFrame, regions: DataFrame, width: int = 4096) ->
 
 
 def chunk_genome(genome: DataFrame, size: int = 1 << 16, overlap: int = 1 << 12) -> DataFrame:
-    """(contig, bin, seq) from (contig, seq): upper-cased pieces that reach `overlap` bases into the next one, so that a read's slice lies
-    in the piece where it begins."""
+    """(contig, bin, seq) from (contig, seq): upper-cased pieces that reach `overlap` bases into the next one."""
     n = F.length("seq")
     g = genome.where(n > 0).withColumn("bin", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))))
     return g.select("contig", F.col("bin").cast("long").alias("bin"), F.upper(F.substr(F.col("seq"), F.col("bin") * size + 1, F.lit(size + overlap))).alias("seq"))
 
 
 def with_reference(reads: DataFrame, chunks: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """Reads with `ref`, the reference at their place, as long as their aligned bases. Longer reads than the pieces'
-    overlap take what the piece holds. Reads on unknown contigs are dropped."""
+    """Reads with `ref`, the reference at their place, as long as their aligned bases. A read meets every piece that it
+    touches, takes `size` bases at most from each and joins them in order, so no read is too long for the pieces' overlap.
+    Reads on unknown contigs are dropped."""
     c = chunks.withColumnsRenamed({"contig": "c_contig", "bin": "c_bin", "seq": "c_seq"})
-    at = F.floor(F.col("pos") / F.lit(size))
-    joined = reads.join(c, (F.col("chr") == F.col("c_contig")) & (at == F.col("c_bin")))
-    return joined.withColumn("ref", F.substr(F.col("c_seq"), (F.col("pos") - F.col("c_bin") * size + 1).cast("int"), F.col("qlen").cast("int"))).drop("c_contig", "c_bin", "c_seq")
+    x = reads.select(F.monotonically_increasing_id().alias("r_row"), F.struct(*reads.columns).alias("r"), F.col("chr").alias("r_chr"), F.col("pos").alias("r_pos"), (F.col("pos") + F.col("qlen")).alias("r_end"))
+    x = x.withColumn("r_bin", F.explode(F.sequence(F.floor(F.col("r_pos") / size), F.floor(F.greatest("r_pos", F.col("r_end") - 1) / size))))
+    x = x.join(c, (F.col("r_chr") == F.col("c_contig")) & (F.col("r_bin") == F.col("c_bin")))
+    low = F.col("c_bin") * size
+    a, b = F.greatest(F.col("r_pos"), low), F.least(F.col("r_end"), low + size)
+    part = F.struct("c_bin", F.substr(F.col("c_seq"), (a - low + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")).alias("part"))
+    x = x.groupBy("r_row").agg(F.first("r").alias("r"), F.array_sort(F.collect_list(part)).alias("parts"))
+    return x.select("r.*", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("ref"))
+
+
+def reaching(chunks: DataFrame, regions: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """(contig, bin, seq): the pieces in which reads of the regions (chr, start, end) may begin, each as far as the furthest of these
+    regions goes. So one piece holds the reference of every read, for streams, which can't gather a read's parts."""
+    first = F.floor(F.greatest(F.col("start"), F.lit(0)) / size)
+    r = regions.where("start <= end").select(F.col("chr").alias("r_chr"), F.col("end").alias("r_end"), F.explode(F.sequence(first, F.floor(F.col("end") / size))).alias("r_bin"))
+    r = r.groupBy("r_chr", "r_bin").agg(F.max("r_end").alias("r_end"))
+    r = r.withColumn("part", F.explode(F.sequence("r_bin", F.greatest("r_bin", F.floor((F.col("r_end") - 1) / size)))))
+    x = r.join(chunks, (F.col("r_chr") == F.col("contig")) & (F.col("part") == F.col("bin")))
+    parts = F.array_sort(F.collect_list(F.struct("part", F.substr(F.col("seq"), F.lit(1), F.lit(size)).alias("seq"))))
+    x = x.groupBy("contig", "r_bin").agg(parts.alias("parts"))
+    return x.select("contig", F.col("r_bin").alias("bin"), F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("seq"))
