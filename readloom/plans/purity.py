@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,27 +105,29 @@ def purity_adjusted(reads: DataFrame, margins: DataFrame, n_grid: int = 10_000,
     return shares, by.select("dmr_label", "fi", "likelihood")
 
 
-def mixture(reads: DataFrame, margins: DataFrame, low: float = 1e-10, digits: int = 6, rounds: int = 60) -> DataFrame:
+def mixture(reads: DataFrame, margins: DataFrame, low: float = 1e-10, rounds: int = 60, few: int = 100_000) -> DataFrame:
     """(cell_type, pred, nll) of K classes: shares of sum 1 that minimise the classes' summed likelihoods, each within
     [low, 1 - low]. The sum is convex and each share has its own term, so a multiplier l with slope_k(share_k) = -l for all k is
-    bisected, and each share within. Reads are summed to distinct probabilities first; each step of the bisection is one aggregation
-    over these. digits: to which probabilities are rounded beforehand where there are more than 100,000 distinct ones, which
-    bounds what the steps pass over."""
+    bisected, and each share within. Reads are summed to distinct probabilities first. few: of how many distinct ones the driver
+    takes the table; more stay where they are, and slopes at many points of each class are summed in one aggregation."""
     m = {r["ctype"]: r["margin"] for r in margins.collect()}
-    x = reads.groupBy("dmr_ctype", "P_ctype").agg(F.count("*").alias("w"))
-    if x.limit(100_001).count() > 100_000:
-        x = reads.groupBy("dmr_ctype", F.round("P_ctype", digits).alias("P_ctype")).agg(F.count("*").alias("w"))
-    table = x.where(F.col("dmr_ctype").isin(*m)).toPandas()
+    x = reads.where(F.col("dmr_ctype").isin(*m)).groupBy("dmr_ctype", "P_ctype").agg(F.count("*").alias("w")).persist()
+    if x.limit(few + 1).count() > few:
+        got = shares_by_sections(x, m, low)
+        total = sum(got.values())
+        nll = summed(x, m, {k: np.array([t / total]) for k, t in got.items()}, nlls)
+        rows = [(k, t / total, float(nll[k][0])) for k, t in got.items()]
+        x.unpersist()
+        return reads.sparkSession.createDataFrame(rows, "cell_type string, pred double, nll double")
+    table = x.toPandas()
+    x.unpersist()
     terms = {}
     for k, margin in m.items():
         own = table[table["dmr_ctype"] == k]
-        p = own["P_ctype"].to_numpy(float)
-        terms[k] = (p / margin, (1 - p) / (1 - margin) if margin < 1 else np.zeros_like(p), own["w"].to_numpy(float))
+        terms[k] = (*both_terms(own["P_ctype"].to_numpy(float), margin), own["w"].to_numpy(float))
 
     def slope(k: str, t: float) -> float:
-        a, b, w = terms[k]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return -float(np.nansum(w * (a - b) / ((1 - t) * b + t * a)))
+        return float(slopes(*terms[k], t))
 
     def share(k: str, l: float) -> float:
         lo, hi = low, 1 - low
@@ -140,13 +143,68 @@ def mixture(reads: DataFrame, margins: DataFrame, low: float = 1e-10, digits: in
         lo, hi = (l, hi) if sum(share(k, l) for k in m) > 1 else (lo, l)
     got = {k: share(k, (lo + hi) / 2) for k in m}
     total = sum(got.values())
-    rows = []
-    for k, t in got.items():
-        a, b, w = terms[k]
-        rows.append((k, t / total, -float(np.sum(w * np.log((1 - t / total) * b + t / total * a)))))
+    rows = [(k, t / total, float(nlls(*terms[k], t / total))) for k, t in got.items()]
     return reads.sparkSession.createDataFrame(rows, "cell_type string, pred double, nll double")
 
 
+def both_terms(p: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    return p / margin, (1 - p) / (1 - margin) if margin < 1 else np.zeros_like(p)
+
+
+def slopes(a: np.ndarray, b: np.ndarray, w: np.ndarray, t: float) -> float:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return -np.nansum(w * (a - b) / ((1 - t) * b + t * a))
+
+
+def nlls(a: np.ndarray, b: np.ndarray, w: np.ndarray, t: float) -> float:
+    with np.errstate(divide="ignore"):
+        return -np.sum(w * np.log((1 - t) * b + t * a))
+
+
+def summed(x: DataFrame, m: dict[str, float], points: dict[str, np.ndarray], f) -> dict[str, np.ndarray]:
+    """f of each class at its points, over (dmr_ctype, P_ctype, w): tasks send partial sums, a row for each class and point."""
+
+    def run(batches):
+        sums = {k: np.zeros(len(ts)) for k, ts in points.items()}
+        for batch in batches:
+            for k, own in batch.groupby("dmr_ctype"):
+                a, b = both_terms(own["P_ctype"].to_numpy(float), m[k])
+                w = own["w"].to_numpy(float)
+                sums[k] += [f(a, b, w, t) for t in points[k]]
+        yield pd.DataFrame([(k, i, float(v)) for k, s in sums.items() for i, v in enumerate(s)], columns=["k", "i", "v"])
+
+    out = {k: np.zeros(len(ts)) for k, ts in points.items()}
+    for r in x.mapInPandas(run, "k string, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]][r["i"]] = r["v"]
+    return out
+
+
+def shares_by_sections(x: DataFrame, m: dict[str, float], low: float, points: int = 63, passes: int = 40) -> dict[str, float]:
+    """The shares of `mixture` with a pass over the data for each cut of all brackets. Slopes at the points of every bracket tell in
+    which section each share lies for any l; the sums of the sections' ends tell between which l the sum is 1."""
+    lo, hi = dict.fromkeys(m, low), dict.fromkeys(m, 1 - low)
+    for _ in range(passes):
+        if all(hi[k] - lo[k] <= 4e-16 * max(1e-3, hi[k]) for k in m):
+            break
+        at = {k: np.linspace(lo[k], hi[k], points + 2) for k in m}
+        got = summed(x, m, {k: t[1:-1] for k, t in at.items()}, slopes)
+        # As l grows past minus a point's slope, that class's share falls below the point.
+        got = {k: np.maximum.accumulate(s) for k, s in got.items()}
+        steps = sorted((-s, -i, k) for k in m for i, s in enumerate(got[k]))
+        section = dict.fromkeys(m, points)
+        seen = [dict(section)]
+        for _, _, k in steps:
+            section[k] -= 1
+            seen.append(dict(section))
+        below = [sum(at[k][s[k]] for k in m) for s in seen]
+        above = [sum(at[k][s[k] + 1] for k in m) for s in seen]
+        last = next((i for i, u in enumerate(above) if u <= 1), len(seen) - 1)
+        first = max((i for i, v in enumerate(below) if v > 1), default=0)
+        first, last = min(first, last), max(first, last)
+        lo, hi = {k: float(at[k][seen[last][k]]) for k in m}, {k: float(at[k][seen[first][k] + 1]) for k in m}
+    return {k: (lo[k] + hi[k]) / 2 for k in m}
+
+
 def deconvolve(reads: DataFrame, train: DataFrame, n_grid: int = 10_000, adjust: bool = False, classes: tuple[str, str] = ("N", "T")) -> tuple[DataFrame, DataFrame | None]:
     """Shares of a sample's classes, and the details of the two-class search. reads: (P_N, P_ctype, dmr_ctype, dmr_label, n_cpg);
     those without a call are left out. train: the training reads, whose classes give the margins. Two classes are searched on a

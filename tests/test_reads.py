@@ -13,7 +13,7 @@ from readloom.operators import corpus, labels, overlap, regions, split
 from readloom.plans import pipelines
 from readloom.plans.extract import Options
 from readloom.plans.likelihood import best_on_grid, grid_likelihood
-from readloom.plans.purity import deconvolve, purity
+from readloom.plans.purity import deconvolve, mixture, purity
 from readloom.plans.scorer import BatchScorer
 from readloom.sources import fasta, sam, tables
 
@@ -219,6 +219,18 @@ def test_purity_by_hand(spark):
         deconvolve(df.where("n_cpg > 5"), m)
 
 
+def test_mixture_is_the_same_at_every_size(spark):
+    """Confident scores, some beyond the sixth digit: as an exact table gives them, also where there are over 100,000."""
+    rng = random.Random(11)
+    rows = [(1 - p if rng.random() < share else p, k) for k, share in (("A", 0.6), ("N", 0.01), ("R", 0.3)) for p in (3e-8 * rng.random() for _ in range(40_000))]
+    df = spark.createDataFrame(rows, "P_ctype double, dmr_ctype string").repartition(4)
+    m = spark.createDataFrame([("A", 0.3), ("N", 0.5), ("R", 0.2)], "ctype string, margin double")
+    a, b = ({r.cell_type: (r.pred, r.nll) for r in x.collect()} for x in (mixture(df, m), mixture(df, m, few=1 << 30)))
+    assert df.distinct().count() > 100_000 and abs(sum(p for p, _ in a.values()) - 1) < 1e-9
+    for k in "ANR":
+        assert abs(a[k][0] - b[k][0]) < 1e-9 and abs(a[k][1] / b[k][1] - 1) < 1e-9
+
+
 def test_grid_vectors_equal_exploded_grids(spark):
     rng = random.Random(9)
     rows = [(p := rng.random(), 1 - p, i % 3) for i in range(500)]
