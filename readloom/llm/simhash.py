@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_digest
 
 from readloom.llm.common import UPPER, components, cut, sliced
@@ -145,27 +146,48 @@ def near_duplicates(df: DataFrame, words: int = 3, id_column: str = "doc_id", te
     between fingerprints of up to 3 differing bits, the row's own included. Equal fingerprints are
     one node, so copies are never paired. Rows without an id take part; a component of such rows
     alone has a null component_id. Repeated rows stay repeated."""
+    return grouped(df, words, id_column, text_column, largest).select(id_column, "fp", "component_id")
+
+
+def grouped(df: DataFrame, words: int, id_column: str, text_column: str, largest: int = LARGEST) -> DataFrame:
+    """near_duplicates with root, which names a component even where an id is in several."""
     docs = cut(fingerprints(df, words, id_column, text_column))
     nodes = cut(docs.groupBy("fp").agg(F.min(id_column).alias("least")))
     roots = components(links(nodes.select("fp"), largest))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(best, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(id_column, "fp", "component_id")
+    named = placed.join(best, "root").select("fp", "root", "component_id")
+    return docs.join(named, "fp").select(id_column, "fp", "root", "component_id")
 
 
 def one_of_each(df: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of `df` less all but one document of each group: that of the smallest id stays.
-    Rows without an id stay, since nothing can name them; of repeated rows of one id one stays."""
-    groups = cut(near_duplicates(df, words, id_column, text_column).select(id_column, "component_id"))
+    """The rows of `df` less all but one document of each group: that of the smallest id stays, and of its texts in
+    the group that of the least fingerprint. Rows without an id stay, since nothing can name them; of repeated rows of
+    one id one stays, and of different texts of one id one in each group."""
+    groups = cut(grouped(df, words, id_column, text_column))
     dropped = groups.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+    repeated = groups.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").select(id_column)
     out = df.join(dropped, id_column, "left_anti").select(*df.columns)
-    kept = groups.where(F.col(id_column) == F.col("component_id"))
-    if kept.groupBy(id_column).count().where("count > 1").limit(1).count():
-        named = out.where(F.col(id_column).isNotNull()).dropDuplicates([id_column])
-        out = named.unionByName(out.where(F.col(id_column).isNull()))
+    if repeated.limit(1).count():
+        # An id that is repeated doesn't tell its rows apart: they are judged by id and fingerprint.
+        repeated = cut(repeated)
+        kept = groups.where(F.col(id_column) == F.col("component_id")).groupBy("root").agg(F.min("fp").alias("_fp"), F.first(id_column).alias("_id"))
+        several = with_fingerprint(df.join(repeated, id_column, "left_semi").select(*df.columns), words, text_column)
+        several = several.join(kept, (F.col(id_column) == F.col("_id")) & (several["_fp"] == kept["_fp"]), "left_semi")
+        out = out.join(repeated, id_column, "left_anti").select(*df.columns).unionByName(several.dropDuplicates([id_column, "_fp"]).drop("_fp"))
     return out
 
 
+def with_fingerprint(df: DataFrame, words: int, text_column: str) -> DataFrame:
+    """All columns and _fp."""
+
+    def run(batches):
+        for batch in sliced(batches, text_column):
+            fp = fingerprints_of(batch.column(text_column).cast(pa.binary()).to_pylist(), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*batch.schema.names, "_fp"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("_fp", LongType())]))
+
+
 def hex_of(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -60,6 +60,17 @@ def test_stages(spark):
     assert frame(corpus_pipeline.run(spark, SF)).equals(got)
 
 
+def test_repeated_ids_lose_copies_only(spark):
+    a, b, c = ("%s one two three four five six seven" % x * 3 for x in ("red", "blue", "green"))
+    fp = simhash.fingerprints_of([x.encode() for x in (a, b, c)]).view(np.uint64)
+    assert all(np.bitwise_count(fp[i] ^ fp[j]) > 3 for i, j in ((0, 1), (0, 2), (1, 2)))
+    rows = [(5, a, 1), (5, b, 1), (3, b, 1), (9, a.upper(), 1), (7, c, 1), (7, c, 1), (8, c, 1), (None, c, 1)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, fp long").repartition(3))
+    assert got.columns == ["doc_id", "text", "fp"] and Counter(map(tuple, got.collect())) == Counter([(5, a, 1), (3, b, 1), (7, c, 1), (None, c, 1)])
+    both = simhash.one_of_each(spark.createDataFrame([(5, a), (5, b)], "doc_id long, text string"))
+    assert Counter(map(tuple, both.collect())) == Counter([(5, a), (5, b)])
+
+
 def test_registered():
     import __spark_entry__
 
