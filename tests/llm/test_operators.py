@@ -79,40 +79,75 @@ def test_bpe(spark, hard, docs):
     assert bpe_automaton.encode_decode(hard.limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_automaton_is_that_of_the_gadgets():
-    """Forked states and arcs against explicit states, for random merges over a small alphabet."""
+def explicit(n, merges):
+    """The gadgets with explicit states: arcs taken from the state after each token, and the living tokens."""
+    gone, alive = {t: set() for t in range(n)}, set(range(n))
+    for u, v, w in merges:
+        if not {u, v} <= alive or v in gone[u]:
+            continue
+        alive.add(w)
+        gone[w] = set(gone[v])
+        gone[u].add(v)
+        for arcs in gone.values():
+            if u in arcs:
+                arcs.add(w)
+    return gone, alive
+
+
+def merged(tokens, merges):
+    for u, v, w in merges:
+        out = []
+        for t in tokens:
+            if out and out[-1] == u and t == v:
+                out[-1] = w
+            else:
+                out.append(t)
+        tokens = out
+    return tokens
+
+
+def test_automaton_is_that_of_the_gadgets(monkeypatch):
+    """Forked states and arcs against explicit states, for random merges over a small alphabet; also with a table that is often emptied."""
     rng = np.random.default_rng(1)
-    for _ in range(30):
+    for turn in range(30):
+        monkeypatch.setattr(bpe_automaton, "STATES", 5 if turn % 2 else 1 << 20)
         labels, merges = {0: b"a", 1: b"b", 2: b"c"}, []
         while len(merges) < 12:
             u, v = (int(x) for x in rng.choice(list(labels), 2))
             if labels[u] + labels[v] not in labels.values():
                 merges.append((u, v, len(labels)))
                 labels[len(labels)] = labels[u] + labels[v]
-        gone = {t: set() for t in range(3)}  # arcs taken from the state after each token
-        alive = {0, 1, 2}
-        for u, v, w in merges:
-            if not {u, v} <= alive or v in gone[u]:
-                continue
-            alive.add(w)
-            gone[w] = set(gone[v])
-            gone[u].add(v)
-            for arcs in gone.values():
-                if u in arcs:
-                    arcs.add(w)
+        gone, alive = explicit(3, merges)
         a = bpe_automaton.Automaton(dict(labels), merges)
         assert set(labels) - alive == a.dead and all(a.leads(s, t) == (t not in gone[s]) for s in alive for t in alive)
         for word in map(bytes, itertools.product(b"abc", repeat=6)):
-            tokens = [{97: 0, 98: 1, 99: 2}[c] for c in word]
-            for u, v, w in merges:
-                out = []
-                for t in tokens:
-                    if out and out[-1] == u and t == v:
-                        out[-1] = w
-                    else:
-                        out.append(t)
-                tokens = out
-            assert a.tokens(word) == tokens
+            assert a.tokens(word) == merged([{97: 0, 98: 1, 99: 2}[c] for c in word], merges)
+        assert len(a.members) <= bpe_automaton.STATES
+
+
+def test_automaton_of_the_real_file():
+    """The first merges of the real file against explicit states, and all of it, word by word, against the library."""
+    bpe = bpe_automaton.ByteBpe(P.path("byte_bpe_50k.json"))
+    by_label = {label: t for t, label in bpe.automaton.labels.items()}
+    arcs = sorted((time, u, v) for u, taken in bpe.automaton.removed.items() for v, time in taken.items())[:500]
+    number = {by_label[bytes([b])]: b for b in range(256)}
+    labels, merges = {b: bytes([b]) for b in range(256)}, []
+    for _, u, v in arcs:
+        w = by_label[bpe.automaton.labels[u] + bpe.automaton.labels[v]]
+        number[w] = len(labels)
+        merges.append((number[u], number[v], number[w]))
+        labels[number[w]] = bpe.automaton.labels[w]
+    gone, alive = explicit(256, merges)
+    a = bpe_automaton.Automaton(dict(labels), merges)
+    assert set(labels) - alive == a.dead and len(alive) > 700
+    assert all(a.leads(s, t) == (t not in gone[s]) for s in alive for t in alive)
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        word = bytes(rng.choice(list(b" theinorasd"), rng.integers(1, 30)))
+        assert a.tokens(word) == merged(list(word), merges)
+    tk = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for word in ("a" * 3000, " " * 2000 + "x", "".join(rng.choice(list("abcdefghij"), 5000))):
+        assert ",".join(bpe.encode(word)) == ",".join(map(str, tk.encode(word, add_special_tokens=False).ids))
 
 
 def test_marginals_by_enumeration():
