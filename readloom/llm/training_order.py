@@ -1,18 +1,23 @@
 """Token ids as fixed-stride binary shards in a keyed training order.
 
-Texts are tokenized and packed, one after the other with an end token, into sequences of fixed
+Texts are dealt to groups by a hash of id and text, and within a group ordered by it, so that nothing depends on how many
+tasks there are. A group's texts are packed, one after the other with an end token, into sequences of fixed
 length. A keyed Feistel network permutes the smallest power of four that holds all sequence numbers;
 walking the cycle until a number is in range gives every sequence a slot of its own in 0..n-1.
 Slots are dealt in ranges to shards, and a shard's file holds its sequences at fixed strides: the
 place of a slot is arithmetic, reading in training order is sequential, and it resumes at any slot.
 
-Shards are written under a temporary name and moved, so a lost executor's task is simply run again;
-a shard that is there with its full size isn't written twice.
+Shards are written under a temporary name and moved, so a lost executor's task is simply run again. A shard that is there
+already is kept only if its bytes are the same. The manifest goes first and comes back last, when all shards
+are there and those past the end are gone: a folder without one isn't whole.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import json
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -23,9 +28,15 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, shared_dir, sliced, texts
+from readloom.llm.bpe_automaton import SPACES
+from readloom.llm.common import cut, delete, shared_dir, sliced, texts, without_shuffle_files
 
 ROUNDS = 6
+#: Bytes of text of a group, and the most partitions that groups are dealt to.
+GROUP_BYTES, MOST_PARTITIONS = 64 << 20, 16384
+#: White space beyond this many characters is cut out before a text goes to the tokenizer, whose pattern can't take it.
+LONG_SPACE = 10_000
+MANIFEST = "manifest.json"
 
 
 def mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -70,51 +81,95 @@ def encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), len(ranks)
 
 
-def packed(df: DataFrame, path: str, pattern: str, length: int, id_column: str, text_column: str) -> DataFrame:
-    """(tokens, n_tokens, n_docs, first_id): sequences of `length` 16-bit ids. Every text ends with the id
-    after the vocabulary's last; what is left of a task's texts is filled up with it. n_docs: texts that end inside."""
+LONG = re.compile(f"[{SPACES}]{{{LONG_SPACE},}}")
+
+
+def encode_all(enc, batch: list[str]) -> list[list[int]]:
+    """Ids of texts. The pattern takes white space before a word as one piece less its last character, and at a text's end whole;
+    long white space is cut out by that rule and merged as a piece of its own."""
+    out = enc.encode_ordinary_batch([t if len(t) < LONG_SPACE or not LONG.search(t) else "" for t in batch], num_threads=1)
+    for k, t in enumerate(batch):
+        if t and not out[k]:
+            ids, at = [], 0
+            for m in LONG.finditer(t):
+                end = m.end() - (m.end() < len(t))
+                ids += enc.encode_ordinary(t[at : m.start()])
+                ids += enc._encode_single_piece(t[m.start() : end].encode())
+                at = end
+            out[k] = ids + enc.encode_ordinary(t[at:])
+    return out
+
+
+def tokenized(df: DataFrame, path: str, pattern: str, id_column: str, text_column: str) -> DataFrame:
+    """(h, k, id, tokens): two hashes of id and text, and 16-bit ids with the id after the vocabulary's last as their end."""
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches):
         enc, end = encoding(path, pattern)
         if end > 0xFFFF:
             raise ValueError("ids don't fit 16 bits")
-        held, begins, ends, names = np.empty(0, np.uint16), [], [], []  # of texts not yet written out: places and ids
+        for batch in sliced(batches):
+            tokens = [np.array([*ids, end], "<u2").tobytes() for ids in encode_all(enc, texts(batch))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "k", "id")), pa.array(tokens, pa.binary())], ["h", "k", "id", "tokens"])
+
+    name = F.col(id_column).cast("string")
+    hashes = (F.xxhash64(F.lit(n), name, F.col(text_column)).alias(c) for n, c in enumerate("hk"))
+    return df.select(*hashes, F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"h long, k long, id {kind}, tokens binary")
+
+
+def packed(df: DataFrame, path: str, pattern: str, length: int, id_column: str, text_column: str, group_bytes: int) -> DataFrame:
+    """(g, i, tokens, n_tokens, n_docs, first_id): the sequences of each group in order, `length` 16-bit ids each. What is left of a
+    group's texts is filled up with the end id. n_docs: texts that end inside. Groups are as many as the bytes of all texts ask for."""
+    total = df.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    groups = -(-total // group_bytes) or 1
+    parts = min(groups, MOST_PARTITIONS)
+    kind = df.schema[id_column].dataType.simpleString()
+    rows = tokenized(df, path, pattern, id_column, text_column).withColumn("g", F.pmod("h", F.lit(groups)))
+    rows = rows.repartitionById(parts, F.pmod("g", F.lit(parts)).cast("int")).sortWithinPartitions("g", "h", "k")
+
+    def run(batches):
+        end = encoding(path, pattern)[1]
+        group, i, held, ends, names = None, 0, np.empty(0, "<u2"), [], []  # of texts not yet written out: places and ids
 
-        def emit(whole: int):
-            nonlocal held, begins, ends, names
-            rows = held[: whole * length].astype("<u2").reshape(whole, length)
-            b, e = np.array(begins, np.int64), np.array(ends, np.int64)
+        def emit(whole: int, last: int = length):
+            nonlocal i, held, ends, names
+            tokens = held[: whole * length].reshape(whole, length)
+            e = np.array(ends, np.int64)
             first = np.searchsorted(e, np.arange(whole) * length, side="right")  # the text that covers a sequence's first id
             n_docs = np.diff(np.searchsorted(e, np.arange(whole + 1) * length, side="right"))
-            out = pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(np.full(whole, length), pa.int32()), pa.array(n_docs, pa.int32()), pa.array([names[k] for k in first], id_type)], ["tokens", "n_tokens", "n_docs", "first_id"])
-            held = held[whole * length :]
+            n_tokens = np.full(whole, length)
+            n_tokens[-1] = last
+            columns = [pa.array(np.full(whole, group), pa.int64()), pa.array(np.arange(i, i + whole)), pa.array([r.tobytes() for r in tokens], pa.binary()), pa.array(n_tokens, pa.int32()), pa.array(n_docs, pa.int32()), pa.array([names[k] for k in first], id_type)]
+            held, i = held[whole * length :], i + whole
             keep = int(np.searchsorted(e, whole * length, side="right"))
-            begins, ends, names = (b[keep:] - whole * length).tolist(), (e[keep:] - whole * length).tolist(), names[keep:]
-            return out
-
-        id_type = None
-        for batch in sliced(batches):
-            id_type = batch.column("id").type
-            parts, at = [held], len(held)
-            for name, ids in zip(batch.column("id").to_pylist(), enc.encode_ordinary_batch(texts(batch), num_threads=1)):
-                begins.append(at)
-                at += len(ids) + 1
-                ends.append(at)
-                names.append(name)
-                ids.append(end)
-                parts.append(np.array(ids, np.uint16))
-            held = np.concatenate(parts)
-            if len(held) >= length:
-                yield emit(len(held) // length)
-        if len(held):
-            n = len(held)
-            held = np.concatenate([held, np.full(length - n, end, np.uint16)])
-            last = emit(1)
-            yield last.set_column(1, "n_tokens", pa.array([n], pa.int32()))
-
-    source = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(run, f"tokens binary, n_tokens int, n_docs int, first_id {kind}")
+            ends, names = (e[keep:] - whole * length).tolist(), names[keep:]
+            return pa.RecordBatch.from_arrays(columns, ["g", "i", "tokens", "n_tokens", "n_docs", "first_id"])
+
+        def finish():
+            nonlocal held
+            if n := len(held):
+                held = np.concatenate([held, np.full(length - n, end, "<u2")])
+                yield emit(1, n)
+
+        for batch in sliced(batches, "tokens"):
+            id_type, gs = batch.column("id").type, batch.column("g").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(gs)) + 1, [len(gs)]]).tolist()
+            for a, z in zip(cuts, cuts[1:]):
+                if a == z:
+                    continue
+                if gs[a] != group:
+                    yield from finish()
+                    group, i = int(gs[a]), 0
+                here = batch.slice(a, z - a)
+                tokens = [np.frombuffer(t, "<u2") for t in here.column("tokens").to_pylist()]
+                ends += (len(held) + np.cumsum([len(t) for t in tokens])).tolist()
+                names += here.column("id").to_pylist()
+                held = np.concatenate([held, *tokens])
+                if len(held) >= length:
+                    yield emit(len(held) // length)
+        yield from finish()
+
+    return rows.select("g", "id", "tokens").mapInArrow(run, f"g long, i long, tokens binary, n_tokens int, n_docs int, first_id {kind}")
 
 
 def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -127,6 +182,42 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def put(uri: str, name: str, data) -> None:
+    """Writes a file under a name of its own and moves it, unless the same bytes are there."""
+    fs, base = store(uri)
+    fs.create_dir(base, recursive=True)
+    info = fs.get_file_info(f"{base}/{name}")
+    if info.size == len(data):
+        with fs.open_input_stream(info.path) as f:
+            if hashlib.file_digest(f, "sha256").digest() == hashlib.sha256(data).digest():
+                return
+    other = f"{base}/.{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(other) as out:
+        out.write(data)
+    if info.type != pyarrow.fs.FileType.NotFound:
+        fs.delete_file(info.path)  # not every store moves over a file
+    fs.move(other, info.path)
+
+
+def manifest(uri: str) -> dict | None:
+    """What a folder of shards holds; None if it isn't whole."""
+    fs, base = store(uri)
+    if fs.get_file_info(f"{base}/{MANIFEST}").type == pyarrow.fs.FileType.NotFound:
+        return None
+    with fs.open_input_stream(f"{base}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
+def tidy(uri: str, shards: int) -> None:
+    """Deletes shards past the end and files that lost tasks left."""
+    fs, base = store(uri)
+    fs.create_dir(base, recursive=True)
+    for info in fs.get_file_info(pyarrow.fs.FileSelector(base)):
+        number = re.fullmatch(r"shard-(\d+)\.bin", info.base_name)
+        if info.base_name.startswith(".shard-") or number and int(number[1]) >= shards:
+            fs.delete_file(info.path)
+
+
 #: What a sequence has beside its tokens, in the blocks that go to a shard.
 ABOUT = "slot, ordinal, n_tokens, n_docs, first_id"
 
@@ -175,13 +266,7 @@ def write_shards(dealt: DataFrame, uri: str, n: int, per_shard: int, stride: int
                 shards[s][0][places] = np.frombuffer(expand.decompress(batch.column("tokens")[k].as_py()), np.uint8).reshape(-1, stride)
                 shards[s][1].append([batch.column(c)[k].values for c in ABOUT.split(", ")])
         for s, (data, about) in shards.items():
-            fs, base = store(uri)
-            fs.create_dir(base, recursive=True)
-            if fs.get_file_info(f"{base}/{shard_name(s)}").size != data.size:
-                name = f"{base}/.{shard_name(s)}.{uuid.uuid4().hex}"
-                with fs.open_output_stream(name) as out:
-                    out.write(data.data)
-                fs.move(name, f"{base}/{shard_name(s)}")
+            put(uri, shard_name(s), data.data)
             columns = [pa.concat_arrays(c) for c in zip(*about)]
             place = columns[0].to_numpy() - s * per_shard
             extra = [pa.array(np.full(len(place), s), pa.int32()), pa.array(place * stride), pa.array([zlib.crc32(data[p].data) for p in place], pa.int64())]
@@ -190,36 +275,45 @@ def write_shards(dealt: DataFrame, uri: str, n: int, per_shard: int, stride: int
     return dealt.mapInArrow(run, schema)
 
 
-def materialise(df: DataFrame, path: str, pattern: str, uri: str, key: int = 20, length: int = 1024, per_shard: int = 16384, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes all texts of `df` (null: empty) as shards under `uri`, a folder that all executors reach, and gives
-    (slot, ordinal, n_tokens, n_docs, first_id, shard, byte_offset, crc32) for each sequence. An empty
-    table writes nothing. Equal input files and partitions give equal shards."""
+def materialise(df: DataFrame, path: str, pattern: str, uri: str, key: int = 20, length: int = 1024, per_shard: int = 16384, id_column: str = "doc_id", text_column: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Writes all texts of `df` (null: empty) as shards under `uri`, a folder that driver and executors reach, and gives
+    (slot, ordinal, n_tokens, n_docs, first_id, shard, byte_offset, crc32) for each sequence. Equal rows give equal shards, however
+    they are partitioned; repeated rows are packed as often as they occur; an empty table gives a manifest without shards; further
+    columns don't matter, whatever their names. What another run left in the folder is replaced."""
     spark = df.sparkSession
     stage = f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
-    packed(df, path, pattern, length, id_column, text_column).write.option("compression", "zstd").parquet(stage)
+    sequences = packed(df, path, pattern, length, id_column, text_column, group_bytes)
+    without_shuffle_files(spark, lambda: sequences.write.option("compression", "zstd").parquet(stage))
     rows = spark.read.parquet(stage)
-    file = F.col("_metadata.file_name")
-    sizes = rows.groupBy(file.alias("file")).count().orderBy("file").collect()  # a row for each task that wrote
+    sizes = rows.groupBy("g").count().orderBy("g").collect()  # a row for each group
     starts, n = [], 0
     for r in sizes:
-        starts.append((r["file"], n))
+        starts.append((r["g"], n))
         n += r["count"]
     order = Permutation(n, key)
-    at = spark.createDataFrame(starts, "file string, start long")
-
-    numbered = rows.withColumn("file", file).withColumn("row", F.col("_metadata.row_index")).join(F.broadcast(at), "file")
-    numbered = numbered.select((F.col("start") + F.col("row")).alias("ordinal"), "n_tokens", "n_docs", "first_id", "tokens")
-    shards = max(1, -(-n // per_shard))
+    at = spark.createDataFrame(starts, "g long, start long")
+    numbered = rows.join(F.broadcast(at), "g").select((F.col("start") + F.col("i")).alias("ordinal"), "n_tokens", "n_docs", "first_id", "tokens")
+    shards = -(-n // per_shard)
+    fs, base = store(uri)
+    if manifest(uri):
+        fs.delete_file(f"{base}/{MANIFEST}")
     # Slots are evenly spread: each range of equal width is a partition, without sampling or hashing.
-    dealt = blocks(numbered, order, per_shard).repartitionById(shards, F.col("shard"))
+    dealt = blocks(numbered, order, per_shard).repartitionById(max(1, shards), F.col("shard"))
     out = cut(write_shards(dealt, uri, n, per_shard, 2 * length))
-    spark._jvm.org.apache.hadoop.fs.Path(stage).getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
+    tidy(uri, shards)
+    digest = out.agg(F.sum(F.xxhash64("slot", "crc32").cast("decimal(38,0)"))).first()[0]
+    put(uri, MANIFEST, json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "key": key, "digest": str(digest or 0)}).encode())
+    delete(spark, stage)
     return out
 
 
 def read(uri: str, slot: int, count: int, length: int = 1024, per_shard: int = 16384) -> np.ndarray:
     """Sequences of `count` slots from `slot` on, by their places; fewer where the order ends."""
     fs, base = store(uri)
+    has = manifest(uri)
+    if not has or (has["length"], has["per_shard"]) != (length, per_shard):
+        raise ValueError("the folder isn't whole, or its sequences have another form")
+    count = min(count, max(0, has["sequences"] - slot))
     parts, stride = [np.empty((0, length), np.uint16)], 2 * length
     while count > 0:
         info = fs.get_file_info(f"{base}/{shard_name(slot // per_shard)}")

@@ -417,9 +417,43 @@ def test_training_order(spark, hard, docs, tmp_path):
         ends, enc = np.flatnonzero(flat == 50256), training_order.encoding(*args)[0]
         texts = Counter(enc.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1] + 1], ends))
         assert texts == Counter(t or "" for t in plain(df)["text"]) and r["n_docs"].sum() == df.count()
-        again = training_order.materialise(df, *args, uri, length=64, per_shard=100)
-        assert again.count() == len(r)
     assert training_order.materialise(hard.limit(0), *args, f"{tmp_path}/none").count() == 0
+    assert training_order.manifest(f"{tmp_path}/none")["sequences"] == 0 and not len(training_order.read(f"{tmp_path}/none", 0, 5))
+
+
+def test_training_order_of_reused_folders_and_partitions(spark, hard, docs, tmp_path):
+    """Shards of another key, of other texts and of more texts don't stay; partitions don't matter."""
+    args, form = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN), {"length": 64, "per_shard": 100}
+    files = lambda name: {f.name: f.read_bytes() for f in (tmp_path / name).iterdir()}
+
+    def write(df, name, **options):
+        r = training_order.materialise(df, *args, f"{tmp_path}/{name}", **form, **options).toPandas()
+        seq = training_order.read(f"{tmp_path}/{name}", 0, 1 << 40, **form)
+        assert len(seq) == len(r) and all(zlib.crc32(seq[s].tobytes()) == c for s, c in zip(r["slot"], r["crc32"]))
+        return len(r)
+
+    n = write(docs, "a")
+    assert write(docs, "a", key=21) == n and write(docs, "b", key=21) == n and files("a") == files("b")
+    upper = docs.withColumn("text", F.upper("text"))
+    assert write(upper, "a") and write(hard, "a") < n and write(hard, "c") and files("a") == files("c")
+    (tmp_path / "a" / "shard-00000000.bin").write_bytes(files("c")["shard-00000000.bin"][::-1])
+    write(hard, "a")
+    assert files("a") == files("c")
+    small = {"group_bytes": 100_000}
+    assert write(docs.coalesce(1), "one", **small) == write(docs.repartition(7), "seven", **small) > n and files("one") == files("seven")
+    (tmp_path / "one" / training_order.MANIFEST).unlink()
+    with pytest.raises(ValueError):
+        training_order.read(f"{tmp_path}/one", 0, 1, **form)
+
+
+def test_training_order_of_long_white_space():
+    enc, _ = training_order.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    bpe = bpe_automaton.tokenizer(P.path("byte_bpe_50k.json"))
+    long = [" " * 2_000_000, "a" + " " * 2_000_000 + "b", "\n" * 1_000_000 + " \tx", " \u3000" * 20_000 + "yes" + "\t" * 30_000]
+    for text, ids in zip(long, training_order.encode_all(enc, long)):
+        assert ids == [int(t) for w in bpe.encode(text) for t in w.split(",")]
+    for text in ("a" + " " * 20_000 + "b", "\n" * 15_000, " \n" * 9_000 + "'s", "", "x"):
+        assert training_order.encode_all(enc, [text]) == [enc.encode_ordinary(text)]
 
 
 def test_media(spark, hard, docs):
