@@ -1,7 +1,7 @@
 """URL rules through Bloom filter cascades over the corpus's complete key universe.
 
-The keys of a URL are its host's suffixes at labels, each joined to the prefixes of its path that
-have the length of some rule's path. Level 1 encodes the listed keys; level 2 the corpus's keys
+The keys of a URL are its host's suffixes of up to as many labels as some rule's host has, each joined to the
+prefixes of its path that have the length of some rule's path. Level 1 encodes the listed keys; level 2 the corpus's keys
 that pass level 1 without being listed; level 3 the listed keys that pass level 2; and so on until
 no key is wrong. The first level that a key fails decides: failing an odd level means not listed,
 an even one listed. For every key of this corpus that is exact, and looking a key up is a
@@ -33,12 +33,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All candidate keys, the longest first, the smallest by code points among equals."""
+def keys_of(host: Column, path: Column, lengths: list[int], most: int) -> Column:
+    """All candidate keys of up to `most` labels, the longest first, the smallest by code points among equals."""
     prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)), lambda p: p.isNotNull())
 
     def suffixes(labels: Column) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        every = F.transform(F.sequence(F.greatest(F.size(labels) - (most - 1), F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, most), "."))
         return F.filter(every, lambda s: s != "")
 
     keys = let(prefixes, lambda ps: F.flatten(F.transform(let(F.split(host, r"\."), suffixes), lambda s: F.transform(ps, lambda p: F.concat(s, p)))))
@@ -134,14 +134,16 @@ def judge(df: DataFrame, rules: dict[str, str], default: str = ALLOW, id_column:
     or allow; a rule fits its host and all subdomains whose path starts with the rule's; the
     longest rule wins, the smaller by code points among equals; without a rule the verdict is
     `default`, since the key is on no list. Null urls and urls without :// have an empty host and
-    path, and no rule. Repeated rows stay repeated; an empty table gives no rows."""
+    path, and no rule. Repeated rows stay repeated; an empty table gives no rows; further columns of `df` don't matter,
+    whatever their names. Long urls cost in proportion to their length."""
     if any(v not in (BLOCK, ALLOW) for v in rules.values()) or any("/" not in r for r in rules):
         raise ValueError("a rule is a host and a path, to block or allow")
     url = F.col(url_column)
     lengths = sorted({len(r) - r.index("/") for r in rules})
     rows = df.select(F.col(id_column), host_of(url).alias("host"), path_of(url).alias("path"))
     lists = {v: [r for r, w in rules.items() if w == v] for v in (BLOCK, ALLOW)}
-    keys = keys_of(F.col("host"), F.col("path"), lengths)
+    labels = max((r[: r.index("/")].count(".") + 1 for r in rules), default=1)
+    keys = keys_of(F.col("host"), F.col("path"), lengths, labels)
     if len(rules) > largest:
         return joined(rows, rules, default, id_column, keys)
     spark = df.sparkSession

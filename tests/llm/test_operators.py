@@ -270,7 +270,7 @@ def test_components(spark):
 
 
 def test_urls(spark):
-    odd = [None, "", "x", "://", "http://", "http://NET", "http://NET/", "http://a.net/EN/", "http://example.net/en/", "http://xexample.net/en/", "http://b.example.net/en/?q", "http://example.com/de/", "http://b.org/fr/x#y", "http://b.org/frx", "http://.net/", "http://a..net/", "a://b://net/", "http://net?x/", "http://net#/", "http://\nnet/x", "http://é.net/é/", "http://a.example.com/de", "http://net/" + "x" * 50000]
+    odd = [None, "", "x", "://", "http://", "http://NET", "http://NET/", "http://a.net/EN/", "http://example.net/en/", "http://xexample.net/en/", "http://b.example.net/en/?q", "http://example.com/de/", "http://b.org/fr/x#y", "http://b.org/frx", "http://.net/", "http://a..net/", "a://b://net/", "http://net?x/", "http://net#/", "http://\nnet/x", "http://é.net/é/", "http://a.example.com/de", "http://net/" + "x" * 50000, "http://" + "a." * 50000 + "b.example.com/de/", "http://" + "." * 3000 + "net/", "http://" + "x" * 300000, "://" * 30000 + "org/fr/"]
     rows = [(i, u, "h", "p", "r", "k") for i, u in enumerate(odd)] + [(6, odd[6], "h", "p", "r", "k"), (None, odd[6], "h", "p", "r", "k")]
     df = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, key string").repartition(2)
     pages = df.toPandas()
