@@ -30,6 +30,8 @@ WIDEST = SIDE // UNIT * UNIT
 DC_BITS, DC_SYMBOLS = [0, 2, 1, 3, 2, 4, *[0] * 10], [4, 7, 3, 0, 1, 5, 2, 6, 8, 9, 10, 11]
 AC_BITS, AC_SYMBOLS = [1, *[0] * 15], [0]
 FRAME = WIDEST * SIDE
+#: Pixels that are coded or decoded at a time.
+AT_ONCE = 1 << 20
 
 
 def codes(bits: list[int], symbols: list[int]) -> list[tuple[int, int, int]]:
@@ -133,10 +135,11 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     ends = np.zeros(stop[-1], bool)
     ends[stop - 1] = True
     turn = (np.arange(stop[-1]) - np.repeat(stop - n, n)) % 8
-    data, sizes = entropy(np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, UNIT), ends, turn)
-    edge = np.concatenate([[0], np.cumsum(sizes)[stop - 1]])
+    rows, step = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, UNIT), AT_ONCE // UNIT
+    coded = [entropy(rows[k : k + step], ends[k : k + step], turn[k : k + step]) for k in range(0, len(rows), step)]
+    edge = np.concatenate([[0], np.cumsum(np.concatenate([size for _, size in coded]))[stop - 1]])
     out = [b""] * len(payloads)
-    data = data.tobytes()
+    data = b"".join([part.data for part, _ in coded])
     for (i, _), head, a, b in zip(frames, heads, edge[:-1].tolist(), edge[1:].tolist()):
         out[i] += head + data[a:b]
     return out
@@ -216,10 +219,6 @@ def parse(data: bytes) -> list[Image]:
     return out
 
 
-def fast_end(data: bytes) -> bool:
-    return data.endswith(b"\xff\xd9")
-
-
 def intervals(scans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All restart intervals of scans that each end with a marker: bytes without stuffing, then each
     interval's start, its length, and the number of intervals of each scan."""
@@ -291,6 +290,23 @@ def decode_dc(data: np.ndarray, start: np.ndarray, length: np.ndarray, blocks: n
     return out[:, back].T, good[back]
 
 
+def decode_pixels(data, start, length, blocks, plan, scale) -> tuple[np.ndarray, np.ndarray]:
+    """The luminance pixels of all intervals, one after the other, and whether an interval is whole; intervals of about AT_ONCE
+    pixels are decoded in step. scale: each interval's DC quantiser."""
+    ones = sum(c == 0 for c, _, _ in plan)
+    upto = np.cumsum(blocks * ones)
+    pixels, good, a = np.empty(upto[-1], np.uint8), np.empty(len(start), bool), 0
+    while a < len(start):
+        begin = upto[a] - blocks[a] * ones
+        z = max(a + 1, int(np.searchsorted(upto, begin + AT_ONCE, side="right")))
+        low, high = start[a], start[z - 1] + length[z - 1]
+        dc, good[a:z] = decode_dc(data[low:high], start[a:z] - low, length[a:z], blocks[a:z], plan)
+        light = np.clip((dc.astype(np.int32) * scale[a:z, None] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
+        pixels[begin : upto[z - 1]] = light[np.arange(light.shape[1]) < (blocks[a:z] * ones)[:, None]]
+        a = z
+    return pixels, good
+
+
 def read_many(files: list[bytes | None]) -> list[list[tuple[Image, np.ndarray]] | None]:
     """(image, thumbnail) for each image of each file, None for a file that can't be read."""
     parsed: list[list[Image] | None] = []
@@ -335,17 +351,16 @@ def read_many(files: list[bytes | None]) -> list[list[tuple[Image, np.ndarray]]
             bad |= {i for i, _, _ in members}
             continue
         blocks = np.concatenate(blocks)
-        dc, good = decode_dc(data, start, length, blocks, plan)
+        scale = np.repeat([im.quant.get(im.components[0][3], 1) for _, _, im in members], per)
+        pixels, good = decode_pixels(data, start, length, blocks, plan, scale)
+        edge = np.concatenate([[0], np.cumsum(blocks * h0 * v0)])
         at = 0
         for n, (i, j, im), (x, y, fits) in zip(per.tolist(), members, whole):
             if not fits or not good[at : at + n].all():
                 bad.add(i)
             else:
-                q = im.quant.get(im.components[0][3], 1)
-                flat = dc[at : at + n].ravel() if n == 1 or (blocks[at : at + n] == blocks[at]).all() and dc.shape[1] == blocks[at] * h0 * v0 else np.concatenate([d[: b * h0 * v0] for d, b in zip(dc[at : at + n], blocks[at : at + n])])
-                flat = flat[: x * y * h0 * v0]
-                pixels = np.clip((flat.astype(np.int32) * q + 4 >> 3) + 128, 0, 255).astype(np.uint8)
-                grid = pixels.reshape(y, x, v0, h0).transpose(0, 2, 1, 3).reshape(y * v0, x * h0)
+                flat = pixels[edge[at] : edge[at + n]][: x * y * h0 * v0]
+                grid = flat.reshape(y, x, v0, h0).transpose(0, 2, 1, 3).reshape(y * v0, x * h0)
                 thumbs[i, j] = grid[: -(-im.height // 8), : -(-im.width // 8)] if len(im.scan) > 1 or len(im.components) == 1 else grid
             at += n
     return [None if p is None or i in bad else [(im, thumbs[i, j]) for j, im in enumerate(p)] for i, p in enumerate(parsed)]
@@ -394,7 +409,8 @@ def jpeg_columns(df: DataFrame, image_column: str = "image", id_column: str = "d
 def store_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_media: bool = False) -> DataFrame:
     """Each whole text (null: empty) as UTF-8, padded with spaces to a positive multiple of 192,
     stored as a JPEG, read back from the stored bytes, and described. Equal texts give equal values;
-    repeated rows stay repeated. keep_media adds the stored bytes. A narrow pass without a shuffle."""
+    repeated rows stay repeated; an empty table gives no rows; further columns of `df` don't matter, whatever their names. Long
+    texts are coded and read in parts of AT_ONCE pixels. keep_media adds the stored bytes. A narrow pass without a shuffle."""
     schema = f"id {df.schema[id_column].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -15,6 +15,8 @@ values within 2 bits of it, and each value links all who name it to the least on
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -31,31 +33,67 @@ LEAST_SHARED = BYTES - MOST
 BLOCKS = [b for b in combinations(range(BYTES), 4) if not b[0] ^ b[1] ^ b[2] ^ b[3]]
 LARGEST = 8192
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
+#: A longer text is taken in pieces of so many bytes.
+PIECE = 1 << 20
+
+
+def digests_of(w: list[bytes], words: int) -> list[bytes]:
+    """Hashes of all shingles of a sequence of more than `words` words less one."""
+    joined = b" ".join(w)
+    ends = list(accumulate(map((1).__add__, map(len, w))))
+    return [xxh64_digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[words - 1 :])]
+
+
+def bits_of(digests: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, BYTES), axis=1)
+
+
+def runs(text: bytes, most: int) -> Iterator[bytes]:
+    """A text in pieces of about `most` bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        end = SPACE.search(text, at + most)
+        end = end.start() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
+def fingerprint_of_long(text: bytes, words: int, most: int = PIECE) -> np.ndarray:
+    """The bytes of a text's fingerprint, a piece at a time; pieces share the words that shingles reach across."""
+    total, n, w = np.zeros(8 * BYTES, np.int64), 0, []
+    for piece in runs(text, most):
+        w += piece.translate(LOWER).split()
+        if len(w) >= words:
+            digests = digests_of(w, words)
+            total += bits_of(digests).sum(0, dtype=np.int64)
+            n += len(digests)
+            w = w[len(w) - words + 1 :]
+    if not n and w:
+        total, n = bits_of([xxh64_digest(b" ".join(w), 42)])[0].astype(np.int64), 1
+    return np.packbits(total * 2 > n)
 
 
 def fingerprints_of(texts: list[bytes | None], words: int = 3) -> np.ndarray:
     """Signed 64-bit fingerprints. A bit is set if it is set in over half the hashes of the text's
     shingles, repeats included; a text without words has fingerprint zero."""
-    digests, counts = [], []
-    for text in texts:
-        w = (text or b"").translate(LOWER).split()  # bytes split at the same six characters
-        n = len(w)
-        if n > words:
-            joined = b" ".join(w)
-            ends = list(accumulate(map((1).__add__, map(len, w))))
-            digests += [xxh64_digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[words - 1 :])]
-            counts.append(n - words + 1)
-        elif n:
-            digests.append(xxh64_digest(b" ".join(w), 42))
-            counts.append(1)
-        else:
+    digests, counts, long = [], [], []
+    for k, text in enumerate(texts):
+        if text and len(text) > PIECE:
+            long.append(k)
             counts.append(0)
+            continue
+        w = (text or b"").translate(LOWER).split()  # bytes split at the same six characters
+        here = digests_of(w, words) if len(w) > words else [xxh64_digest(b" ".join(w), 42)] if w else []
+        digests += here
+        counts.append(len(here))
     n, out = np.array(counts, np.int64), np.zeros((len(texts), BYTES), np.uint8)
     if digests:
-        bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, BYTES), axis=1)
         full = np.flatnonzero(n)
         starts = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-        out[full] = np.packbits(np.add.reduceat(bits, starts, axis=0, dtype=np.int32) * 2 > n[full, None], axis=1)
+        out[full] = np.packbits(np.add.reduceat(bits_of(digests), starts, axis=0, dtype=np.int32) * 2 > n[full, None], axis=1)
+    for k in long:
+        out[k] = fingerprint_of_long(texts[k], words)
     return out.view(">i8").ravel().astype(np.int64)
 
 
@@ -144,8 +182,10 @@ def links(fps: DataFrame, largest: int = LARGEST) -> DataFrame:
 def near_duplicates(df: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text", largest: int = LARGEST) -> DataFrame:
     """(id, fp, component_id) for every row; component_id is the smallest id reachable by links
     between fingerprints of up to 3 differing bits, the row's own included. Equal fingerprints are
-    one node, so copies are never paired. Rows without an id take part; a component of such rows
-    alone has a null component_id. Repeated rows stay repeated."""
+    one node, so copies are never paired. Null and empty texts and those of white space have fingerprint zero and are
+    linked like any other. Rows without an id take part; a component of such rows
+    alone has a null component_id. Repeated rows stay repeated; an empty table gives no rows; further columns of `df` don't
+    matter, whatever their names. Long texts are worked through in pieces."""
     return grouped(df, words, id_column, text_column, largest).select(id_column, "fp", "component_id")
 
 
@@ -163,7 +203,8 @@ def grouped(df: DataFrame, words: int, id_column: str, text_column: str, largest
 def one_of_each(df: DataFrame, words: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `df` less all but one document of each group: that of the smallest id stays, and of its texts in
     the group that of the least fingerprint. Rows without an id stay, since nothing can name them; of repeated rows of
-    one id one stays, and of different texts of one id one in each group."""
+    one id one stays, and of different texts of one id one in each group. Texts without words are one group; an empty table gives
+    no rows; all columns stay as they are."""
     groups = cut(grouped(df, words, id_column, text_column))
     dropped = groups.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
     repeated = groups.where(F.col(id_column).isNotNull()).groupBy(id_column).count().where("count > 1").select(id_column)

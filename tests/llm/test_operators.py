@@ -6,6 +6,8 @@ import itertools
 import math
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -249,6 +251,42 @@ def test_simhash(spark, hard, docs, largest):
     assert simhash.near_duplicates(hard.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 40, 1000])
+def test_long_texts_have_the_fingerprint_of_their_whole(monkeypatch, piece):
+    texts = [t for t in TEXTS if t and len(t) < 2000] + ["Ab cd  ef\ngh " * 30, " x", "x y ", "x y z", "\t" * 90]
+    whole = simhash.fingerprints_of([t.encode() for t in texts]).view(np.uint64)
+    assert [int(f) for f in whole] == [slow_fingerprint(t) for t in texts]
+    for t, f in zip(texts, whole):
+        assert int.from_bytes(simhash.fingerprint_of_long(t.encode(), 3, piece).tobytes(), "big") == int(f)
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    assert (simhash.fingerprints_of([t.encode() for t in texts]).view(np.uint64) == whole).all()
+
+
+PEAK = """
+import resource, sys
+import numpy as np
+from readloom.llm import jpeg_dc, quality_crf, simhash
+word = " ".join(str(i * 7919 % 100003) for i in range(12))
+text = ((word + "\\n") * ((64 << 20) // (len(word) + 1) + 1)).encode()
+assert len(text) >= 64 << 20
+if sys.argv[1] == "simhash":
+    simhash.fingerprints_of([text])
+elif sys.argv[1] == "jpeg":
+    padded = text.ljust(-(-len(text) // 192) * 192, b" ")
+    images = jpeg_dc.read_many(jpeg_dc.encode_many([padded]))
+    assert jpeg_dc.payload_of(images[0]) == padded and jpeg_dc.feature(images[0])
+else:
+    assert 0 <= quality_crf.Model().scores([text])[0] <= 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+@pytest.mark.parametrize("which", ["simhash", "jpeg", "crf"])
+def test_a_text_of_64_mb_takes_less_than_a_gb(which):
+    got = subprocess.run([sys.executable, "-c", PEAK, which], capture_output=True, text=True, check=True)
+    assert int(got.stdout) < 1000
+
+
 def test_simhash_lists_lose_no_link(spark):
     rng = np.random.default_rng(5)
     seeds = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
@@ -456,6 +494,20 @@ def test_training_order_of_long_white_space():
         assert training_order.encode_all(enc, [text]) == [enc.encode_ordinary(text)]
 
 
+def plain_feature(text):
+    """Dimensions and cells of the thumbnail whose rows are the payload's runs of 192 bytes, for payloads of one image column."""
+    payload = text.ljust(max(1, -(-len(text) // 192)) * 192, b" ")
+    rows = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+    h, cells = len(rows), []
+    for i in range(8):
+        for j in range(8):
+            a, b = h * i // 8, h * (i + 1) // 8
+            here = [v for r in rows[a : max(b, a + 1)] for v in r[24 * j : 24 * j + 24]]
+            cells.append(sum(here) / len(here))
+    mean = sum(cells) / 64
+    return f"{192 * 8}x{h * 8}:{sum((c > mean) << 63 - k for k, c in enumerate(cells)):016x}"
+
+
 def test_media(spark, hard, docs):
     for df in (hard, docs):
         got = jpeg_dc.store_texts(df, keep_media=True)
@@ -469,6 +521,9 @@ def test_media(spark, hard, docs):
         back = jpeg_dc.jpeg_columns(got.select("doc_id", F.col("media").alias("image")))
         assert back.where("not error and width % 8 = 0").count() == df.count()
     assert jpeg_dc.store_texts(hard.limit(0)).count() == 0
+    texts = dict(by_id(hard.where("doc_id is not null"), "text"))
+    for r in jpeg_dc.store_texts(hard.where("doc_id is not null")).collect():
+        assert r.feature == plain_feature((texts[r.doc_id] or "").encode())
     odd = spark.createDataFrame([(1, None), (2, bytearray()), (3, bytearray(b"\xff\xd8\xff\xd9")), (4, bytearray(b"text"))], "doc_id long, image binary")
     assert jpeg_dc.jpeg_columns(odd).where("error and width is null").count() == 4
 
