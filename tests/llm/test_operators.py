@@ -167,6 +167,83 @@ def test_marginals_by_enumeration():
         assert np.allclose(one / total, p[at]) and np.allclose(two / total, pairs[at])
 
 
+def plain_quality(model, text):
+    """A text's quality by plain loops: features of lines, weights of a line and its neighbours, sums over all labellings by
+    the chain rule, and the mean by bytes. Also the lines' chances of being good."""
+    fold = lambda b: b.translate(simhash.LOWER)
+    lines = [x for x in (text or b"").split(b"\n") if x.split()] or [b""]
+    rows = []
+    for line in lines:
+        words, n = [fold(w) for w in line.split()], sum(c not in b" \t\n\v\f\r" for c in line)
+        upper, lower = sum(65 <= c <= 90 for c in line), sum(97 <= c <= 122 for c in line)
+        kinds = [sum(c in b"0123456789" for c in line), sum(c in b".,;:'\"-?()" for c in line), 0, line.count(b"|"), line.count(b"!"), sum(c >= 128 for c in line)]
+        kinds[2] = n - upper - lower - sum(kinds)
+        again = [sum(a == b for a, b in zip(words, words[k:])) / max(len(words), 1) for k in (1, 2)]
+        rows.append([upper / max(upper + lower, 1), *(k / max(n, 1) for k in kinds), n / max(len(words), 1), len(words), again[0], sum(fold(x) == fold(line) for x in lines), again[1]])
+    bins = [[sum(v >= e for e in edges) for v, edges in zip(row, quality_crf.EDGES)] for row in rows]
+    none, f = [quality_crf.BINS] * len(quality_crf.EDGES), len(quality_crf.EDGES)
+    score = []
+    for i in range(len(bins)):
+        near = [*(bins[i - 1] if i else none), *bins[i], *(bins[i + 1] if i + 1 < len(bins) else none)]
+        score.append(sum(model.weights[k * (quality_crf.BINS + 1) + b] for k, b in enumerate(near)))
+    assert len(near) == 3 * f
+    unary = [(math.exp(-max(min(s, 60), -60) / 2), math.exp(max(min(s, 60), -60) / 2)) for s in score]
+    ahead, back = [unary[0]], [(1.0, 1.0)]
+    norm = lambda v: tuple(x / sum(v) for x in v)
+    for u in unary[1:]:
+        ahead.append(norm([sum(ahead[-1][a] * math.exp(model.pair[a, b]) for a in (0, 1)) * u[b] for b in (0, 1)]))
+    for u in unary[:0:-1]:
+        back.append(norm([sum(math.exp(model.pair[a, b]) * u[b] * back[-1][b] for b in (0, 1)) for a in (0, 1)]))
+    p = [norm([x * y for x, y in zip(a, b)])[1] for a, b in zip(ahead, back[::-1])]
+    size = [max(1, sum(c not in b" \t\n\v\f\r" for c in x)) for x in lines]
+    return sum(a * b for a, b in zip(p, size)) / sum(size), p
+
+
+def test_quality_by_plain_loops(monkeypatch):
+    d, labels = (pd.read_parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = d.merge(labels, on="doc_id").head(150)
+    lines = quality_crf.Lines([t.encode() for t in x["text"]])
+    model = quality_crf.Model().fit(lines.bins, lines.doc, x["quality"].to_numpy(), lines.size)
+    assert np.abs(model.pair).max() > 0.01
+    texts = [*(t.encode() for t in d["text"].head(120)), *((t or "").encode() for t in TEXTS), b"x\r\n\r\nX \nx\n", b"A a A\na A a\n" * 5]
+    expected = [plain_quality(model, t)[0] for t in texts]
+    assert np.allclose(model.scores(texts), expected, atol=1e-9)
+    monkeypatch.setattr(quality_crf, "MANY", 7)  # chains in blocks
+    assert np.allclose(model.scores(texts), expected, atol=1e-9)
+    monkeypatch.setattr(quality_crf, "PIECE", 3000)  # measured in pieces; here no line is longer
+    short = [k for k, t in enumerate(texts) if max(map(len, t.split(b"\n"))) < 3000]
+    assert len(short) > 100 and np.allclose(model.scores([texts[k] for k in short]), [expected[k] for k in short], atol=1e-9)
+
+
+def test_lines_of_mixed_documents(monkeypatch):
+    """Labels are of documents only; most lines of a document are of its kind, the others are found."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("etaoinshr"), rng.integers(2, 8)))
+    clean = lambda: " ".join(word() for _ in range(10)) + "."
+    junk = lambda: " ".join(word() + rng.choice(["###", "$$$", "%%%"]) for _ in range(10))
+    texts, label, kinds = [], [], []
+    for _ in range(300):
+        y = int(rng.random() < 0.6)
+        kind = np.where(rng.random(16) < 0.15, 1 - y, y)
+        texts.append("\n".join(clean() if k else junk() for k in kind).encode())
+        label.append(y)
+        kinds.append(kind)
+    lines = quality_crf.Lines(texts)
+    model = quality_crf.Model().fit(lines.bins, lines.doc, np.array(label), lines.size)
+    truth = np.concatenate(kinds)
+    assert ((model.good(lines) > 0.5) == truth).mean() > 0.97 and (model.lines == truth).mean() > 0.95
+    assert ((model.scores(texts) >= 0.7) == (np.array([k.mean() for k in kinds]) >= 0.7)).mean() > 0.8
+
+
+def test_long_lines_are_cut_at_white_space():
+    for text in (b"ab cd\nef gh ij", b"x" * 50, b"one two three four", b"\n\n\n\n\n", b"", b"a\n" * 20):
+        for most in (1, 4, 9, 100):
+            got = list(quality_crf.pieces(text, most))
+            assert all(len(p) <= most for p in got) and b"".join(b"".join(p.split(b"\n")) for p in got) == text.replace(b"\n", b"")
+    assert list(quality_crf.pieces(b"one two three", 6)) == [b"one ", b"two ", b"three"] and quality_crf.Lines([b"one two three"], 6).docs == 1
+    assert len(quality_crf.Lines([b"one two three", b"", None], 6).doc) == 5
+
+
 def test_quality(spark, hard):
     sf = "/root/testdata/sf0.01"
     d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -175,6 +252,7 @@ def test_quality(spark, hard):
     out = got[got["held_out"]]
     assert (out["predicted"] == out["quality"]).mean() > 0.97 and got["score"].between(0, 1).all()
     model = quality_crf.train(d, labels, most=300)
+    assert np.allclose(quality_crf.train(d.unionByName(d), labels, most=300).weights, model.weights)
     odd = labels.select("doc_id", F.lit(None).cast("int").alias("quality"), "toxic").unionByName(labels).unionByName(labels)
     assert np.allclose(quality_crf.train(d, odd, most=300).weights, model.weights)
     s = quality_crf.score(hard, model)
