@@ -235,7 +235,7 @@ class Model:
         self.weights = np.zeros(N_WEIGHTS) if weights is None else weights
         self.pair = np.zeros((2, 2)) if pair is None else pair
 
-    def fit(self, bins: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np.ndarray | None = None, rounds: int = 2, clear: float = 0.8, most: float = 0.3) -> Model:
+    def fit(self, bins: np.ndarray, doc: np.ndarray, label: np.ndarray, size: np.ndarray | None = None, rounds: int = 2, clear: float = 0.75, most: float = 0.3) -> Model:
         """From documents' labels. Lines begin with their document's; after each round those that by their own features are of the
         other label with a probability of `clear` take it, unless in their document these hold over `most` of the bytes. size: bytes of
         each line."""
