@@ -1,13 +1,17 @@
 """Language-model scores: a log-bilinear neural model fitted by noise-contrastive estimation in numpy.
 
 A symbol is the end of a text, one of the most frequent words, or the class of any other word by its
-last bytes. The symbol before predicts a vector, context matrix times its own vector, and a symbol's
-score is that vector's product with the symbol's vector, plus the symbol's bias. A word of a class takes its
-share of the class by add-one counts. Products of whole blocks of contexts give normalised log-probabilities.
+last bytes. The two symbols before predict a vector, the sum of a context matrix for each place times the symbol's
+vector there; a symbol's score is that vector's product with the symbol's own, plus the symbol's bias. A word of a class takes its
+share of the class by add-one counts.
 
-Two statistics are gathered from all training texts: counts of tokens, and counts of pairs of adjacent
-symbols, whose number is bounded by the vocabulary. Fitting takes the expectation of the
-contrastive objective over all pairs and all noise, so that no pair is sampled away.
+Fitting goes over all training texts. In each round every task takes the documents whose ids' hash is of that round, starts
+from the common model and makes steps of noise-contrastive estimation: words as they stand against drawn noise. The
+tasks' models, weighed by their tokens, are averaged for the next round. So each token is learned from once, what is gathered
+grows with the corpus, and nothing but models of a size given by parameters reaches the driver.
+
+Scores are normalised: over all symbols, exp(from one place + from the other) sums to an entry of the product of two
+matrices, so one product of all contexts by all contexts gives every normaliser.
 
 Counts of frequent words, a bounded number, are broadcast; the other words of a text are joined
 with their counts, and none of these is a hot key.
@@ -16,12 +20,15 @@ with their counts, and none of these is a hot key.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,94 +92,158 @@ class Memoised(dict):
 
 
 def chain(words: list[list[bytes]], symbols: Memoised) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of texts, each with its end, in one array; before the first is an end as well. And lengths."""
+    """The symbols of texts, each with its end, in one array; before the first are two ends. And lengths."""
     n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    out = np.zeros(n.sum() + 1, np.int64)
-    at = 1
+    out = np.zeros(n.sum() + 2, np.int64)
+    at = 2
     for w in words:
         out[at : at + len(w)] = [symbols[x] for x in w]
         at += len(w) + 1
     return out, n
 
 
-def pair_counts(df: DataFrame, v: Vocabulary) -> DataFrame:
-    """(pair, n): adjacent symbols as before * size + symbol. At most size squared rows."""
-    size = v.size
+def contexts(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol before each of a chain, and the one before that; before a text are ends."""
+    one, two = s[1:-1], s[:-2].copy()
+    two[np.cumsum(n) - n] = 0
+    return one, two
 
-    def run(batches):
-        symbols, total = Memoised(v), np.zeros(size * size, np.int64)
-        for batch in sliced(batches):
-            s, _ = chain(words_of(batch), symbols)
-            pair, n = np.unique(s[:-1] * size + s[1:], return_counts=True)
-            total[pair] += n
-        pair = np.flatnonzero(total)
-        for k in range(0, len(pair), 1 << 18):
-            p = pair[k : k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(total[p])], ["pair", "n"])
 
-    return df.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers and the sums of their rows."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 class LogBilinear:
-    """Vectors of symbols, a context matrix and biases."""
+    """Vectors of symbols as contexts and as words, a matrix for each of two places, and biases."""
 
-    def __init__(self, size: int, width: int, seed: int = 1):
+    def __init__(self, size: int, width: int, q: np.ndarray, seed: int = 1):
+        """q: the symbols' frequencies, from which noise is drawn and which the biases start from."""
         rng = np.random.default_rng(seed)
-        self.vectors = rng.normal(0, 0.1, (size, width)).astype(np.float32)
-        self.context = np.eye(width, dtype=np.float32)
-        self.bias = np.zeros(size, np.float32)
-
-    def scores(self, before: slice) -> np.ndarray:
-        return (self.vectors[before] @ self.context) @ self.vectors.T + self.bias
-
-    def fit(self, counts: np.ndarray, noise: int = 20, steps: int = 50, rate: float = 0.05, prior: float = 30, block: int = 256) -> LogBilinear:
-        """Noise-contrastive estimation. counts: of pairs, before by symbol. The noise is the symbols' own
-        frequencies; objective and gradient are expectations over all pairs and all noise, in blocks. prior:
-        pairs added after each symbol, spread by frequency, which hold rare contexts to the frequencies."""
-        total = float(counts.sum(dtype=np.float64))
-        if not total:
-            return self
-        q = ((counts.sum(0, dtype=np.float64) + 1) / (total + len(counts))).astype(np.float32)
-        self.bias = np.log(q)
-        counts = counts + np.float32(prior) * q
-        total = float(counts.sum(dtype=np.float64))
-        shift, n = np.log(noise * q), counts / np.float32(total)
-        parts = [self.vectors, self.context, self.bias]
-        first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
-        for step in range(1, steps + 1):
-            grads = [np.zeros_like(p) for p in parts]
-            for a in range(0, len(counts), block):
-                here = slice(a, a + block)
-                v, data = self.vectors[here], n[here]
-                made = v @ self.context
-                d = made @ self.vectors.T
-                d += self.bias - shift
-                np.negative(d, out=d)
-                np.clip(d, -30, 30, out=d)
-                np.exp(d, out=d)
-                d += 1
-                np.reciprocal(d, out=d)  # the chance that a pair is data
-                g = data - d * (data + data.sum(1, keepdims=True) * (noise * q))
-                grads[0] += g.T @ made
-                back = g @ self.vectors
-                grads[0][here] += back @ self.context.T
-                grads[1] += v.T @ back
-                grads[2] += g.sum(0)
-            slow = rate * min(1, 2 * (1 - step / (steps + 1)))
-            for p, g, m, s in zip(parts, grads, first, second):
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                p += slow * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-9)
-        return self
-
-    def table(self, block: int = 256) -> np.ndarray:
-        """log10 P(symbol | before), normalised over all symbols."""
-        out = np.empty((len(self.bias),) * 2, np.float32)
-        for a in range(0, len(out), block):
-            s = self.scores(slice(a, a + block)).astype(np.float64)
-            s -= s.max(1, keepdims=True)
-            out[a : a + block] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / math.log(10)
-        return out
+        of = lambda: rng.normal(0, 0.1, (size, width)).astype(np.float32)
+        self.q = np.asarray(q, np.float32) / np.float32(np.sum(q))
+        self.parts = [of(), of(), np.eye(width, dtype=np.float32), np.eye(width, dtype=np.float32) / 2, np.log(self.q)]
+        self.seen = [np.full_like(p, 0.1) for p in self.parts]  # sums of squared gradients
+
+    def move(self, k: int, at, g: np.ndarray, rate: float) -> None:
+        """A step up a part's gradient, slower where there were large ones."""
+        self.seen[k][at] += g * g
+        self.parts[k][at] += rate * g / np.sqrt(self.seen[k][at])
+
+    def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, drawn: np.ndarray, noise: int, rate: float) -> None:
+        """Words against `noise` draws each; the draws of a step are shared and weigh as many as there should be."""
+        context, target, c1, c2, bias = self.parts
+        r1, r2, t, d = context[one], context[two], target[word], target[drawn]
+        made = r1 @ c1 + r2 @ c2
+        shift = bias - np.log(noise * self.q)
+        # The chance that a pair is noise, for words; that it is data, for draws.
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", made, t) + shift[word], -30, 30)))
+        down = made @ d.T
+        down += shift[drawn]
+        np.negative(down, out=down)
+        np.exp(np.clip(down, -30, 30, out=down), out=down)
+        down += 1
+        np.reciprocal(down, out=down)
+        down *= np.float32(-noise / len(drawn))
+        back = up[:, None] * t + down @ d
+        at, g = summed(np.concatenate([one, two]), np.concatenate([back @ c1.T, back @ c2.T]))
+        g1, g2 = r1.T @ back, r2.T @ back
+        to, h = summed(np.concatenate([word, drawn]), np.concatenate([np.column_stack([up[:, None] * made, up]), np.column_stack([down.T @ made, down.sum(0)])]))
+        self.move(0, at, g, rate)
+        self.move(1, to, h[:, :-1], rate)
+        self.move(2, slice(None), g1, rate)
+        self.move(3, slice(None), g2, rate)
+        self.move(4, to, h[:, -1], rate)
+
+    def fit(self, examples: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], rng: np.random.Generator, batch: int = 1024, noise: int = 20, draws: int = 128, rate: float = 0.1, least: int = 300) -> int:
+        """Steps over chains of (one, two, word), in a random order within each. If all are fewer than `least` steps of examples,
+        they are gone over again until as many were made. Gives the number of examples."""
+        ladder, held, n, steps = np.cumsum(self.q, dtype=np.float64), [], 0, 0
+
+        def go(one, two, word):
+            nonlocal steps
+            order = rng.permutation(len(word))
+            for a in range(0, len(word), batch):
+                at = order[a : a + batch]
+                drawn = np.minimum(np.searchsorted(ladder, rng.random(draws) * ladder[-1]), len(ladder) - 1)
+                self.step(one[at], two[at], word[at], drawn, noise, rate)
+                steps += 1
+
+        for x in examples:
+            go(*x)
+            n += len(x[2])
+            if steps < least:
+                held.append(x)
+        while n and steps < least:
+            go(*map(np.concatenate, zip(*held)))
+        return n
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of words from the symbol before, biases included, and from the one before that; and the logarithm of the sum of exp
+        over all words for each two contexts."""
+        context, target, c1, c2, bias = self.parts
+        near = (context @ c1) @ target.T
+        near += bias
+        far = (context @ c2) @ target.T
+        top1, top2 = near.max(1, keepdims=True), far.max(1, keepdims=True)
+        z = np.exp(near - top1) @ np.exp(far - top2).T
+        np.log(np.maximum(z, np.float32(1e-37), out=z), out=z)
+        z += top1
+        z += top2.T
+        return near, far, z
+
+
+def packed(parts: list[np.ndarray]) -> bytes:
+    return b"".join(np.ascontiguousarray(p, np.float32).tobytes() for p in parts)
+
+
+def unpacked(data: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    cuts = np.cumsum([p.size for p in like])[:-1]
+    return [x.reshape(p.shape) for x, p in zip(np.split(data, cuts), like)]
+
+
+def fitted(training: DataFrame, v: Vocabulary, model: LogBilinear, rounds: int, tasks: int) -> LogBilinear:
+    """The model after all rounds. training: (text, turn), turn a hash. Each task gives its parts times its tokens; these are added up
+    in groups, so that the driver gets the square root of the number of tasks."""
+    spark = training.sparkSession
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float64) for x in t.column("parts"))
+        return pa.table({"n": [pc.sum(t.column("n")).as_py()], "parts": pa.array([total.tobytes()], pa.binary())})
+
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches, r=r, shared=shared):
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
+            mine, symbols = pickle.loads(pickle.dumps(shared.value)), Memoised(v)
+
+            def examples():
+                for batch in sliced(batches):
+                    s, n = chain(words_of(batch), symbols)
+                    yield *contexts(s, n), s[2:]
+
+            n = mine.fit(examples(), np.random.default_rng([r, task]))
+            if n:
+                data = np.frombuffer(packed(mine.parts + mine.seen), np.float32).astype(np.float64) * n
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([n], pa.int64()), pa.array([data.tobytes()], pa.binary())], ["task", "n", "parts"])
+
+        of_round = training.where(F.pmod("turn", F.lit(rounds)) == r).select("text").coalesce(tasks)
+        made = of_round.mapInArrow(run, "task int, n long, parts binary").groupBy((F.col("task") % math.isqrt(tasks)).alias("k")).applyInArrow(add, "n long, parts binary")
+        n, total = 0, 0.0
+        for row in made.toLocalIterator():
+            n, total = n + row.n, total + np.frombuffer(row.parts, np.float64)
+        if n:
+            like = model.parts + model.seen
+            new = unpacked((total / n).astype(np.float32), like)
+            model.parts, model.seen = new[: len(model.parts)], new[len(model.parts) :]
+        shared.unpersist()
+    return model
 
 
 class Scorer:
@@ -182,8 +253,8 @@ class Scorer:
         self.model, self.v, self.frequent, self.class_tokens = model, v, frequent, class_tokens
 
     def ready(self) -> Scorer:
-        if not hasattr(self, "table"):
-            self.table, self.memo = self.model.table(), Memoised(self.v)
+        if not hasattr(self, "near"):
+            (self.near, self.far, self.sums), self.memo = self.model.tables(), Memoised(self.v)
             self.index = {w: i for i, w in enumerate(self.frequent)}
             self.log = np.log10(np.fromiter(self.frequent.values(), np.float64, len(self.frequent)) + 1)
             self.symbol = np.array([self.v.symbol(w) for w in self.frequent], np.int64)
@@ -214,46 +285,47 @@ class Scorer:
             symbols[lost] = [self.memo[words[k][i]] for k, i in zip(text[lost].tolist(), (lost - start[text[lost]]).tolist())]
         symbols[ends] = 0
         log = np.where(known, self.log[np.maximum(ids, 0)] if len(self.log) else 0.0, 0.0)
-        before = np.concatenate([[0], symbols[:-1]])
+        one, two = contexts(np.concatenate([[0, 0], symbols]), n)
         classed = symbols > len(self.v.words)
-        lm = self.table[before, symbols].astype(np.float64) + np.where(classed, log - self.inner[symbols], 0.0)
+        given = self.near[one, symbols].astype(np.float64) + self.far[two, symbols] - self.sums[one, two]
+        lm = given / math.log(10) + np.where(classed, log - self.inner[symbols], 0.0)
         add = lambda x: np.bincount(text, weights=x, minlength=len(words))
         return n, add(known).astype(np.int64), add(log), add(lm), other
 
 
-def score_texts(df: DataFrame, training: DataFrame, words: int = 1535, classes: int = 512, width: int = 32, frequent: int = 400_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, training: DataFrame, words: int = 3583, classes: int = 512, width: int = 32, frequent: int = 400_000, longest: int = 64, rounds: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of `df`, with a model of `training`.
     Null and empty texts have one token, their end. base_score: add-one counts of single tokens; score: the
-    model. Repeated rows stay repeated. Without training texts all counts are 0 and the model is uniform.
+    model. Repeated rows stay repeated and are learned from as often; an empty table gives no rows; further columns don't matter,
+    whatever their names. Without training texts all counts are 0 and the model is that of the start.
 
     words, classes: symbols of the model; width: of vectors; frequent: the most words whose counts
-    are broadcast, all other words are joined with theirs."""
+    are broadcast, of up to `longest` bytes each; all other words are joined with theirs; rounds: averages of tasks' models.
+    The model depends on how many tasks there are (spark.default.parallelism) and what each reads."""
     spark = df.sparkSession
-    training = training.select(F.col(text_column).alias("text"))
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    training = training.select(F.col(text_column).alias("text"), F.xxhash64(F.col(id_column).cast("string"), F.col(text_column)).alias("turn"))
     counts = cut(token_counts(training))
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # Bars of a histogram by the logarithm of the count: the last ones that together hold no more than `frequent` words.
-    bar = F.floor(F.ln("c") * 50)
+    # Bars of a histogram by the logarithm of the count: the last ones that together hold no more than `frequent` words. Long words
+    # are never broadcast, so that what is has a bound in bytes. The end is in every text and never joined, so it always is.
+    bar = F.when(F.length("token") <= longest, F.floor(F.ln("c") * 50)).otherwise(-1)
     least, held = 1 << 30, 0
-    for c, n in sorted(counts.groupBy(bar.alias("bar")).count().collect(), reverse=True):
+    for c, n in sorted(counts.where(bar >= 0).groupBy(bar.alias("bar")).count().collect(), reverse=True):
         if held + n > frequent:
             break
         least, held = c, held + n
-    # The end is in every text and never joined, so its count is broadcast whatever its bar.
     top = counts.where((bar >= least) | (F.length("token") == 0)).orderBy(F.desc("c"), "token").toArrow()
     top = dict(zip(top.column("token").to_pylist(), top.column("c").to_pylist()))
     v = Vocabulary([w for w in islice(top, words + 1) if w != END][:words], classes)
     own = spark.createDataFrame([(bytearray(w),) for w in [END, *v.words]], "token binary")
     of_class = (F.crc32(F.expr(f"substring(token, -{SUFFIX}, {SUFFIX})")) % classes).cast("int")
     rest = counts.join(F.broadcast(own), "token", "left_anti").groupBy(of_class.alias("k")).agg(F.sum("c"), F.count("*")).collect()
-    class_tokens = np.ones(classes)
+    class_tokens, tokens = np.ones(classes), np.zeros(classes)
     for k, c, n in rest:
-        class_tokens[k] = c + n + 1
-    pairs = pair_counts(training, v).toArrow()
-    matrix = np.zeros(v.size * v.size, np.float32)
-    matrix[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    del pairs
-    model = LogBilinear(v.size, width).fit(matrix.reshape(v.size, v.size))
+        class_tokens[k], tokens[k] = c + n + 1, c
+    q = np.concatenate([[top.get(END, 0)], [top[w] for w in v.words], tokens]) + 1.0
+    model = fitted(training, v, LogBilinear(v.size, width, q), rounds, tasks)
     shared = spark.sparkContext.broadcast(Scorer(model, v, top, class_tokens))
 
     def run(batches):

@@ -483,12 +483,57 @@ def test_language_model_beats_single_tokens(spark):
     assert (got["score"] > got["base_score"]).mean() > 0.9
 
 
-def test_language_model_has_1535_words_of_its_own(spark, monkeypatch):
+def test_language_model_has_3583_words_of_its_own(spark, monkeypatch):
     made, make = [], lbl_lm.Vocabulary.__init__
     monkeypatch.setattr(lbl_lm.Vocabulary, "__init__", lambda self, *a: made.append(self) or make(self, *a))
-    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(2000))) for i in range(3)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(4000))) for i in range(3)], "doc_id long, text string")
     lbl_lm.score_texts(df, df)
-    assert len(made[0].words) == 1535 and made[0].size == 2048
+    assert len(made[0].words) == 3583 and made[0].size == 4096
+
+
+@pytest.mark.parametrize("frequent", [30, 100_000])
+def test_language_model_scores_by_plain_loops(spark, hard, docs, monkeypatch, frequent):
+    """Scores of all texts against softmax sums over all symbols, token by token, for a model of arbitrary parts; also with words
+    that are joined, long ones among them."""
+    kept = []
+
+    def arbitrary(training, v, model, rounds, tasks):
+        rng = np.random.default_rng(3)
+        model.parts = [rng.normal(0, 0.5, p.shape).astype(np.float32) for p in model.parts]
+        kept.append((v, model))
+        return model
+
+    monkeypatch.setattr(lbl_lm, "fitted", arbitrary)
+    df = docs.select("doc_id", "text").limit(40).unionByName(hard.select("doc_id", "text")).unionByName(spark.createDataFrame([(900, "x" * 65 + " b " + "x" * 65), (901, "y" * 65 + " b")], "doc_id long, text string"))
+    rows = plain(df)
+    training = rows[rows["doc_id"].notna()].head(40)
+    fit = spark.createDataFrame(list(training.itertuples(index=False, name=None)) + [(902, "x" * 65)], "doc_id long, text string")
+    got = sorted(((r.n_tokens, r.n_known, round(r.score, 3), round(r.base_score, 3)) for r in lbl_lm.score_texts(df, fit, words=20, classes=6, width=5, frequent=frequent).collect()), key=repr)
+    v, model = kept[0]
+    tokens = lambda t: [*(t or "").encode().translate(simhash.LOWER).split(), b""]
+    c = Counter(w for t in [*training["text"], "x" * 65] for w in tokens(t))
+    n = sum(c.values())
+    share = Counter()
+    for w in c:
+        share[v.symbol(w)] += c[w] + 1
+    context, target, c1, c2, bias = (p.astype(float) for p in model.parts)
+    expected = []
+    for t in rows["text"]:
+        s, base, one, two = 0.0, 0.0, 0, 0
+        for w in tokens(t):
+            k = v.symbol(w)
+            all_ = target @ (context[one] @ c1 + context[two] @ c2) + bias
+            s += (all_[k] - all_.max() - math.log(np.exp(all_ - all_.max()).sum())) / math.log(10)
+            if k > len(v.words):
+                s += math.log10((c[w] + 1) / (share[k] + 1))
+            base += math.log10((c[w] + 1) / (n + len(c) + 1))
+            one, two = k, one
+        expected.append((len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), s, base))
+    expected.sort(key=lambda x: repr((x[0], x[1], round(x[2], 3), round(x[3], 3))))
+    assert len(got) == len(expected)
+    order = lambda rows: sorted(rows, key=lambda x: (x[0], x[1], x[3], x[2]))
+    for g, e in zip(order(got), order(expected)):
+        assert g[:2] == e[:2] and abs(g[2] - e[2]) < 0.02 + 1e-6 * abs(e[2]) * e[0] and abs(g[3] - e[3]) < 0.01
 
 
 def test_language_model_counts_ends_below_the_bar(spark):
@@ -504,12 +549,49 @@ def test_language_model_counts_ends_below_the_bar(spark):
 
 
 def test_log_bilinear_is_normalised_and_learns():
-    n = np.zeros((6, 6), np.float32)
-    for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 0)):
-        n[a, b] = 1000
-    m = lbl_lm.LogBilinear(6, 8).fit(n, steps=300, prior=1)
-    t = m.table()
-    assert np.allclose((10.0**t).sum(1), 1, atol=1e-4) and all(t[a].argmax() == b for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (4, 0)))
+    """Words that follow from one of the two symbols before, by drawn noise."""
+    rng = np.random.default_rng(5)
+    for place in (0, 1):
+        one, two = rng.integers(0, 6, (2, 40_000))
+        word = ((one, two)[place] + 1) % 6
+        m = lbl_lm.LogBilinear(6, 8, np.bincount(word, minlength=6))
+        assert m.fit(iter([(one, two, word)]), rng, least=600) == 40_000
+        near, far, sums = m.tables()
+        p = np.exp(near[:, None, :] + far[None, :, :] - sums[:, :, None])  # by one, two, word
+        assert np.allclose(p.sum(2), 1, atol=1e-4) and (p.argmax(2) == (np.arange(6)[:, None] if place == 0 else np.arange(6)[None, :]) * 1 % 6 + 1 - 6 * ((np.arange(6)[:, None] if place == 0 else np.arange(6)[None, :]) == 5)).all()
+        assert p.max(2).min() > 0.5
+
+
+def test_log_bilinear_steps_follow_the_gradient():
+    """A step's gradients against differences of the objective, with draws that weigh as many as there should be."""
+    rng = np.random.default_rng(7)
+    one, two, word, drawn, noise = *rng.integers(0, 5, (3, 12)), rng.integers(0, 5, 9), 4
+    m = lbl_lm.LogBilinear(5, 3, np.arange(1, 6))
+    m.parts = [rng.normal(0, 0.4, p.shape) for p in m.parts]
+    m.q = m.q.astype(float)
+
+    def objective(parts):
+        context, target, c1, c2, bias = parts
+        made = context[one] @ c1 + context[two] @ c2
+        s = lambda w: (made * target[w]).sum(1) + bias[w] - np.log(noise * m.q[w])
+        return -np.log1p(np.exp(-s(word))).sum() - sum(np.log1p(np.exp(s(np.full(12, d)))).sum() * noise / 9 for d in drawn)
+
+    got = [np.zeros_like(p) for p in m.parts]
+    parts = [p.copy() for p in m.parts]
+    m.move = lambda k, at, g, rate: got[k].__setitem__(at, got[k][at] + g)
+    m.step(one, two, word, drawn, noise, 0.1)
+    for k, p in enumerate(parts):
+        for i in np.ndindex(p.shape):
+            moved = [x.copy() for x in parts]
+            moved[k][i] += 1e-6
+            assert abs((objective(moved) - objective(parts)) / 1e-6 - got[k][i]) < 1e-3
+
+
+def test_contexts_begin_anew_with_each_text():
+    v = lbl_lm.Vocabulary([b"a", b"b", b"c"], 1)
+    s, n = lbl_lm.chain([[b"a", b"b", b"c"], [], [b"c", b"a"]], lbl_lm.Memoised(v))
+    one, two = lbl_lm.contexts(s, n)
+    assert s[2:].tolist() == [1, 2, 3, 0, 0, 3, 1, 0] and one.tolist() == [0, 1, 2, 3, 0, 0, 3, 1] and two.tolist() == [0, 0, 1, 2, 0, 0, 0, 3]
 
 
 @settings(max_examples=60, deadline=None)
