@@ -73,6 +73,8 @@ class Vocabulary:
     """Symbols of tokens. 0 is the end; then `words` frequent words; then classes by suffix."""
 
     def __init__(self, words: list[bytes], classes: int):
+        if 1 + len(words) + classes > 1 << 16:
+            raise ValueError("symbols don't fit 16 bits")
         self.words, self.classes = words, classes
         self.symbols = {END: 0} | {w: i for i, w in enumerate(words, 1)}
         self.size = 1 + len(words) + classes
@@ -83,18 +85,26 @@ class Vocabulary:
 
 
 class Memoised(dict):
-    def __init__(self, v: Vocabulary):
+    """Symbols of tokens, those of classes for up to `most` tokens at a time."""
+
+    def __init__(self, v: Vocabulary, most: int = 200_000):
         super().__init__(v.symbols)
-        self.v = v
+        self.v, self.most = v, most
 
     def __missing__(self, token: bytes) -> int:
-        return self.v.symbol(token)
+        s = self.v.symbol(token)
+        if len(token) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+                self.update(self.v.symbols)
+            self[token] = s
+        return s
 
 
 def chain(words: list[list[bytes]], symbols: Memoised) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of texts, each with its end, in one array; before the first are two ends. And lengths."""
     n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    out = np.zeros(n.sum() + 2, np.int64)
+    out = np.zeros(n.sum() + 2, np.uint16)
     at = 2
     for w in words:
         out[at : at + len(w)] = [symbols[x] for x in w]
@@ -111,12 +121,32 @@ def contexts(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at, kind="stable")  # of 16-bit numbers, hence in linear time
     at = at[order]
-    first = np.flatnonzero(np.diff(at, prepend=-1))
+    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
+#: Rows of a product that stay on one thread: more threads than a task has cores only cost time.
+ROWS = 64
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x @ y by ROWS rows of x."""
+    whole = len(x) // ROWS * ROWS
+    out = np.empty((len(x), y.shape[1]), x.dtype)
+    np.matmul(x[:whole].reshape(-1, ROWS, x.shape[1]), y, out=out[:whole].reshape(-1, ROWS, y.shape[1]))
+    np.matmul(x[whole:], y, out=out[whole:])
+    return out
+
+
+def over(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y by ROWS rows of both."""
+    whole = len(x) // ROWS * ROWS
+    parts = x[:whole].reshape(-1, ROWS, x.shape[1]).transpose(0, 2, 1) @ y[:whole].reshape(-1, ROWS, y.shape[1])
+    return parts.sum(0) + x[whole:].T @ y[whole:]
+
+
 class LogBilinear:
     """Vectors of symbols as contexts and as words, a matrix for each of two places, and biases."""
 
@@ -137,28 +167,28 @@ class LogBilinear:
         """Words against `noise` draws each; the draws of a step are shared and weigh as many as there should be."""
         context, target, c1, c2, bias = self.parts
         r1, r2, t, d = context[one], context[two], target[word], target[drawn]
-        made = r1 @ c1 + r2 @ c2
+        made = times(r1, c1) + times(r2, c2)
         shift = bias - np.log(noise * self.q)
         # The chance that a pair is noise, for words; that it is data, for draws.
         up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", made, t) + shift[word], -30, 30)))
-        down = made @ d.T
+        down = times(made, d.T)
         down += shift[drawn]
         np.negative(down, out=down)
         np.exp(np.clip(down, -30, 30, out=down), out=down)
         down += 1
         np.reciprocal(down, out=down)
         down *= np.float32(-noise / len(drawn))
-        back = up[:, None] * t + down @ d
-        at, g = summed(np.concatenate([one, two]), np.concatenate([back @ c1.T, back @ c2.T]))
-        g1, g2 = r1.T @ back, r2.T @ back
-        to, h = summed(np.concatenate([word, drawn]), np.concatenate([np.column_stack([up[:, None] * made, up]), np.column_stack([down.T @ made, down.sum(0)])]))
+        back = up[:, None] * t + times(down, d)
+        at, g = summed(np.concatenate([one, two]), np.concatenate([times(back, c1.T), times(back, c2.T)]))
+        g1, g2 = over(r1, back), over(r2, back)
+        to, h = summed(np.concatenate([word, drawn]), np.concatenate([np.column_stack([up[:, None] * made, up]), np.column_stack([over(down, made), down.sum(0)])]))
         self.move(0, at, g, rate)
         self.move(1, to, h[:, :-1], rate)
         self.move(2, slice(None), g1, rate)
         self.move(3, slice(None), g2, rate)
         self.move(4, to, h[:, -1], rate)
 
-    def fit(self, examples: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], rng: np.random.Generator, batch: int = 1024, noise: int = 20, draws: int = 128, rate: float = 0.1, least: int = 300) -> int:
+    def fit(self, examples: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], rng: np.random.Generator, batch: int = 1024, noise: int = 20, draws: int = 64, rate: float = 0.1, least: int = 300) -> int:
         """Steps over chains of (one, two, word), in a random order within each. If all are fewer than `least` steps of examples,
         they are gone over again until as many were made. Gives the number of examples."""
         ladder, held, n, steps = np.cumsum(self.q, dtype=np.float64), [], 0, 0
@@ -168,7 +198,7 @@ class LogBilinear:
             order = rng.permutation(len(word))
             for a in range(0, len(word), batch):
                 at = order[a : a + batch]
-                drawn = np.minimum(np.searchsorted(ladder, rng.random(draws) * ladder[-1]), len(ladder) - 1)
+                drawn = np.minimum(np.searchsorted(ladder, rng.random(draws) * ladder[-1]), len(ladder) - 1).astype(np.uint16)
                 self.step(one[at], two[at], word[at], drawn, noise, rate)
                 steps += 1
 
@@ -181,18 +211,23 @@ class LogBilinear:
             go(*map(np.concatenate, zip(*held)))
         return n
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of words from the symbol before, biases included, and from the one before that; and the logarithm of the sum of exp
-        over all words for each two contexts."""
+    def tables(self, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the symbol before and the one before that add to the predicted vector; and the logarithm of the sum of exp over all
+        words for each two contexts, products of blocks by blocks."""
         context, target, c1, c2, bias = self.parts
-        near = (context @ c1) @ target.T
-        near += bias
-        far = (context @ c2) @ target.T
-        top1, top2 = near.max(1, keepdims=True), far.max(1, keepdims=True)
-        z = np.exp(near - top1) @ np.exp(far - top2).T
-        np.log(np.maximum(z, np.float32(1e-37), out=z), out=z)
-        z += top1
-        z += top2.T
+        near, far = context @ c1, context @ c2
+
+        def weights(rows: np.ndarray, more) -> tuple[np.ndarray, np.ndarray]:
+            s = rows @ target.T + more
+            top = s.max(1, keepdims=True)
+            return np.exp(s - top), top
+
+        z = np.empty((len(bias),) * 2, np.float32)
+        for b in range(0, len(bias), block):
+            w2, top2 = weights(far[b : b + block], 0)
+            for a in range(0, len(bias), block):
+                w1, top1 = weights(near[a : a + block], bias)
+                z[a : a + block, b : b + block] = np.log(np.maximum(w1 @ w2.T, 1e-37)) + top1 + top2.T
         return near, far, z
 
 
@@ -287,13 +322,17 @@ class Scorer:
         log = np.where(known, self.log[np.maximum(ids, 0)] if len(self.log) else 0.0, 0.0)
         one, two = contexts(np.concatenate([[0, 0], symbols]), n)
         classed = symbols > len(self.v.words)
-        given = self.near[one, symbols].astype(np.float64) + self.far[two, symbols] - self.sums[one, two]
+        target, bias = self.model.parts[1], self.model.parts[4]
+        given = np.empty(len(symbols))
+        for a in range(0, len(symbols), 1 << 15):
+            at = slice(a, a + (1 << 15))
+            given[at] = np.einsum("ij,ij->i", self.near[one[at]] + self.far[two[at]], target[symbols[at]]) + bias[symbols[at]] - self.sums[one[at], two[at]]
         lm = given / math.log(10) + np.where(classed, log - self.inner[symbols], 0.0)
         add = lambda x: np.bincount(text, weights=x, minlength=len(words))
         return n, add(known).astype(np.int64), add(log), add(lm), other
 
 
-def score_texts(df: DataFrame, training: DataFrame, words: int = 3583, classes: int = 512, width: int = 32, frequent: int = 400_000, longest: int = 64, rounds: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_texts(df: DataFrame, training: DataFrame, words: int = 2559, classes: int = 512, width: int = 32, frequent: int = 400_000, longest: int = 64, rounds: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) for every row of `df`, with a model of `training`.
     Null and empty texts have one token, their end. base_score: add-one counts of single tokens; score: the
     model. Repeated rows stay repeated and are learned from as often; an empty table gives no rows; further columns don't matter,
