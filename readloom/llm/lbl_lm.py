@@ -160,8 +160,9 @@ class LogBilinear:
 
     def move(self, k: int, at, g: np.ndarray, rate: float) -> None:
         """A step up a part's gradient, slower where there were large ones."""
-        self.seen[k][at] += g * g
-        self.parts[k][at] += rate * g / np.sqrt(self.seen[k][at])
+        seen = self.seen[k][at] + g * g
+        self.seen[k][at] = seen
+        self.parts[k][at] += rate * g / np.sqrt(seen)
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, drawn: np.ndarray, noise: int, rate: float) -> None:
         """Words against `noise` draws each; the draws of a step are shared and weigh as many as there should be."""
@@ -294,6 +295,7 @@ class Scorer:
             self.log = np.log10(np.fromiter(self.frequent.values(), np.float64, len(self.frequent)) + 1)
             self.symbol = np.array([self.v.symbol(w) for w in self.frequent], np.int64)
             self.inner = np.concatenate([np.zeros(1 + len(self.v.words)), np.log10(self.class_tokens)])
+            self.frequent = None  # its words are in the index
         return self
 
     def score(self, words: list[list[bytes]]):
