@@ -23,12 +23,12 @@ def token_list(k: int = 3) -> list[str]:
 
 def token_id(token: Column, k: int = 3) -> Column:
     """The id of a token by base-4 arithmetic; what isn't a k-mer of bases or a special token is unknown."""
-    special = F.lit(None).cast("int")
+    places = [F.instr(F.lit(BASES), F.substring(token, j + 1, 1)) for j in range(k)]
+    number = sum(((p - 1) * len(BASES) ** (k - 1 - j) for j, p in enumerate(places)), F.lit(len(SPECIALS)))
+    out = F.when((F.length(token) == k) & (F.least(*places, F.lit(1)) > 0), number)
     for i, s in enumerate(SPECIALS):
-        special = F.when(token == s, i).otherwise(special)
-    fits = (F.length(token) == k) & (F.translate(token, BASES, "") == "")
-    number = F.conv(F.translate(token, BASES, "0123"), len(BASES), 10).cast("int")
-    return F.coalesce(special, F.when(fits, number + len(SPECIALS)), F.lit(UNK)).cast("int")
+        out = out.when(token == s, i)
+    return out.otherwise(UNK).cast("int")
 
 
 def to_ids(tokens: Column, k: int = 3) -> Column:

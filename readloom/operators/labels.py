@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The columns of a read dataset.
 MANDATORY = ("dna_seq", "methyl_seq", "ctype", "dmr_ctype", "dmr_label")
 UNKNOWN = "NA"
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Region tables of up to so many rows are broadcast; beyond, both sides are dealt by contig and bin.
-FEW_REGIONS = 200_000
+#: Regions in bins are broadcast up to so many rows and bytes; beyond, both sides are dealt by contig and bin.
+FEW_REGIONS, FEW_BYTES = 200_000, 64 << 20
 
 
 def inside(pos: Column, n: Column, start: Column, end: Column) -> Column:
@@ -14,18 +14,21 @@ def inside(pos: Column, n: Column, start: Column, end: Column) -> Column:
     return (pos >= start) & (pos + n <= end)
 
 
-def contained(reads: DataFrame, regions: DataFrame, few: int = FEW_REGIONS, width: int = 4096) -> DataFrame:
-    """Reads (chr, pos, qlen, ...) joined with every region (chr, start, end, ...) that contains them. The number of
-    regions decides the way: broadcast and probed by contig, or binned."""
-    if regions.limit(few + 1).count() <= few:
-        r = F.broadcast(regions.withColumnsRenamed({"chr": "r_chr", "start": "r_start", "end": "r_end"}))
-        return reads.join(r, (F.col("chr") == F.col("r_chr")) & inside(F.col("pos"), F.col("qlen"), F.col("r_start"), F.col("r_end"))).drop("r_chr")
-    return contained_binned(reads, regions, width)
+def contained(reads: DataFrame, regions: DataFrame, few: int = FEW_REGIONS, few_bytes: int = FEW_BYTES) -> DataFrame:
+    """Reads (chr, pos, qlen, ...) joined with every region (chr, start, end, ...) that contains them, by contig and bin. A
+    bin is as wide as regions are on average, so a region is in few bins and a read meets few regions that don't contain it. Binned
+    regions are broadcast if they are `few` and small; the rows and the join are the same either way."""
+    size = regions.agg(F.count("*").alias("n"), F.avg(F.greatest(F.col("end") - F.col("start"), F.lit(1))).alias("mean"), F.avg(F.octet_length(F.to_json(F.struct(*regions.columns)))).alias("bytes")).first()
+    width = 64
+    while width < (size["mean"] or 0):
+        width *= 2
+    small = 4 * size["n"] <= few and 4 * size["n"] * (size["bytes"] or 0) <= few_bytes  # a region is in 3 bins on average, at most
+    return contained_binned(reads, regions, width, small)
 
 
-def contained_binned(reads: DataFrame, regions: DataFrame, width: int = 4096) -> DataFrame:
+def contained_binned(reads: DataFrame, regions: DataFrame, width: int = 4096, small: bool = False) -> DataFrame:
     """The same by an equal-key join on contig and bin: a region is in every bin that it touches, a read in the bin where
-    it begins, so each pair meets once."""
+    it begins, so each pair meets once. small: whether the regions may be broadcast."""
     w = F.lit(width)
     r = regions.withColumnsRenamed({"chr": "r_chr", "start": "r_start", "end": "r_end"})
     r = r.where("r_start < r_end").withColumn("r_bin", F.explode(F.sequence(F.floor(F.col("r_start") / w), F.floor((F.col("r_end") - 1) / w))))
@@ -33,15 +36,20 @@ def contained_binned(reads: DataFrame, regions: DataFrame, width: int = 4096) ->
     # A read without bases can begin at a region's end, beyond its last bin.
     edge = regions.withColumnsRenamed({"chr": "r_chr", "start": "r_start", "end": "r_end"}).where("r_start <= r_end").withColumn("r_bin", F.floor(F.col("r_end") / w))
     r = r.unionByName(edge.where((F.col("r_end") % w == 0) | (F.col("r_start") == F.col("r_end"))))
+    r = F.broadcast(r) if small else r
     on = (F.col("chr") == F.col("r_chr")) & (F.col("bin") == F.col("r_bin")) & inside(F.col("pos"), F.col("qlen"), F.col("r_start"), F.col("r_end"))
     return q.join(r, on).drop("r_chr", "bin", "r_bin")
 
 
 def chunk_genome(genome: DataFrame, size: int = 1 << 16, overlap: int = 1 << 12) -> DataFrame:
-    """(contig, bin, seq) from (contig, seq): upper-cased pieces that reach `overlap` bases into the next one."""
+    """(contig, bin, seq) from (contig, seq): upper-cased pieces that reach `overlap` bases into the next one. For contigs that fit
+    a cell; each is cut once, by bytes, as pieces of letters of one byte can be (others are cut letter by letter)."""
     n = F.length("seq")
-    g = genome.where(n > 0).withColumn("bin", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))))
-    return g.select("contig", F.col("bin").cast("long").alias("bin"), F.upper(F.substr(F.col("seq"), F.col("bin") * size + 1, F.lit(size + overlap))).alias("seq"))
+    pieces = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.substring(F.col("raw"), i * size + 1, F.lit(size + overlap))))
+    plain = genome.where((n > 0) & (n == F.octet_length("seq"))).withColumn("raw", F.col("seq").cast("binary"))
+    plain = plain.select("contig", pieces.alias("bin", "seq")).select("contig", F.col("bin").cast("long").alias("bin"), F.upper(F.col("seq").cast("string")).alias("seq"))
+    g = genome.where((n > 0) & (n != F.octet_length("seq"))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))))
+    return plain.unionByName(g.select("contig", F.col("bin").cast("long").alias("bin"), F.upper(F.substr(F.col("seq"), F.col("bin") * size + 1, F.lit(size + overlap))).alias("seq")))
 
 
 def with_reference(reads: DataFrame, chunks: DataFrame, size: int = 1 << 16) -> DataFrame:

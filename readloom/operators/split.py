@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Digits of a draw that make a range, and how many ranges there are.
+DIGITS = 3
+RANGES = 16**DIGITS
 Ratio = float | tuple[float, float, float] | None
 
 
@@ -42,12 +45,18 @@ def split_mode(ratio: Ratio) -> tuple[float, float, float]:
 
 def assign_parts(keys: DataFrame, key: str, ratio: Ratio, seed: int = 0) -> DataFrame:
     """Distinct (key, ctype) with `part`: train, test or val. Within each class, keys in seeded order are cut at rounded
-    shares. A class's keys are ranked by one sort; cuts that need no order are in `assign_by_hash`."""
+    shares. Keys are counted by class and the first digits of their draw, of which there are RANGES; running sums of these counts, a
+    small table, and ranks within such a range give every key's place, so no task ranks a class."""
     train, test, _ = split_mode(ratio)
-    by = Window.partitionBy("ctype")
-    k = keys.withColumn("place", F.row_number().over(by.orderBy(draw(key, seed), key))).withColumn("n", F.count("*").over(by))
-    first, second = F.round(F.col("n") * F.lit(train)), F.round(F.col("n") * F.lit(train + test))
-    return k.withColumn("part", F.when(F.col("place") <= first, "train").when(F.col("place") <= second, "test").otherwise("val")).drop("place", "n")
+    k = keys.withColumn("_draw", draw(key, seed)).withColumn("_range", F.substring("_draw", 1, DIGITS))
+    sizes = k.groupBy(F.col("ctype").alias("_ctype"), F.col("_range").alias("_of")).agg(F.count("*").alias("_m"))
+    by = Window.partitionBy("_ctype")
+    sizes = sizes.withColumn("_before", F.sum("_m").over(by.orderBy("_of")) - F.col("_m")).withColumn("_n", F.sum("_m").over(by))
+    k = k.join(F.broadcast(sizes), F.col("ctype").eqNullSafe(F.col("_ctype")) & (F.col("_range") == F.col("_of")))  # at most RANGES rows a class
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("ctype", "_range").orderBy("_draw", key))
+    first, second = F.round(F.col("_n") * F.lit(train)), F.round(F.col("_n") * F.lit(train + test))
+    k = k.withColumn("_place", place)
+    return k.withColumn("part", F.when(F.col("_place") <= first, "train").when(F.col("_place") <= second, "test").otherwise("val")).select(*keys.columns, "part")
 
 
 def assign_by_hash(keys: DataFrame, key: str, ratio: Ratio, seed: int = 0) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,15 @@ from readloom.sources import sam as alignments
 from readloom.sources import tables
 from readloom.sources.fasta import contig_lines, genome_chunks, ordered_lines
 
+#: The files of a split.
 NAMES = {"train": "train_seq.csv", "test": "test_seq.csv", "val": "val_seq.csv"}
 
 
+def same_file(uri: str) -> str:
+    """A URI with one slash after its scheme, which is written with one or more."""
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", uri)
+
+
 def load_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Reads of BAM and SAM files, by their names' ends."""
     bams, sams = [p for p in paths if p.endswith(".bam")], [p for p in paths if not p.endswith(".bam")]
@@ -41,15 +50,20 @@ def preprocess(spark: SparkSession, f_dmr: str, f_ref: str, output_path: str, in
         raise ValueError("no region is left")
     tables.write_tsv(regions, f"{output_path}/dmrs.csv", single=True)
     genome = harmonise_contigs(genome_chunks(contig_lines(spark, f_ref)), style)
-    listed = [r["path"] for r in files.select("path").collect()]  # a row for each input file
-    reads = alignments.placed(load_reads(spark, listed))
-    names = files.withColumn("path", F.regexp_extract("path", r"[^/]+$", 0))
-    reads = attach_ctype(reads.withColumn("filename", F.regexp_extract("path", r"[^/]+$", 0)), names, "filename").drop("path")
+    listed = files.collect()  # a row for each input file
+    reads = alignments.placed(load_reads(spark, [r["path"] for r in listed]))
+    # Files are told apart by their whole paths, as names may repeat in different folders.
+    of_file = spark.createDataFrame([(same_file(tables.file_uri(r["path"])), r["ctype"]) for r in listed], "path string, ctype string").dropDuplicates(["path"])
+    reads = attach_ctype(reads.withColumn("path", F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")), of_file)
+    reads = reads.withColumn("filename", F.regexp_extract("path", r"[^/]+$", 0))
     out = extractor(reads, regions, genome, options)
+    if out.isEmpty():
+        warnings.warn("no read with a call lies in a region", stacklevel=2)
     if shares == (1.0, 0.0, 0.0):
+        out = out.drop("path")
         tables.write_reads(shuffled(out, "name", seed), f"{output_path}/data.csv")
         return out
-    parts = split(out, "filename" if use_file_name else "name", split_ratio, seed)
+    parts = split(out, "path" if use_file_name else "name", split_ratio, seed).drop("path")
     for p, share in zip(NAMES, shares):
         if share:
             tables.write_reads(shuffled(parts.where(F.col("part") == p).drop("part"), "name", seed), f"{output_path}/{NAMES[p]}")
@@ -57,13 +71,12 @@ def preprocess(spark: SparkSession, f_dmr: str, f_ref: str, output_path: str, in
 
 
 def finetune(spark: SparkSession, train_dataset: str, output_path: str, test_dataset: str | None = None, iterations: int = 50, **parameters) -> Scorer:
-    """Trains and saves a classifier, with train.csv, eval.csv if there is a test set, and train_param.txt (local paths)."""
+    """Trains and saves a classifier, with train.csv (the loss of each step), eval.csv if there is a test set, and train_param.txt."""
     train = tables.reads(spark, train_dataset)
     scorer = Scorer.fit(train, iterations=iterations)
     scorer.save(f"{output_path}/read_model")
-    acc = evaluate(scorer.transform(train)).first()
-    trace = [(s, float(loss), float(acc["ctype_acc"]), 1.0) for s, loss in scorer.trace()]
-    tables.write_tsv(spark.createDataFrame(trace, "step int, loss double, ctype_acc double, lr double"), f"{output_path}/train.csv", single=True)
+    trace = [(s, float(loss)) for s, loss in scorer.trace()]
+    tables.write_tsv(spark.createDataFrame(trace, "step int, loss double"), f"{output_path}/train.csv", single=True)
     if test_dataset:
         e = evaluate(scorer.transform(tables.reads(spark, test_dataset))).withColumn("step", F.lit(len(trace)))
         tables.write_tsv(e.select("step", "loss", "ctype_acc"), f"{output_path}/eval.csv", single=True)

@@ -95,7 +95,7 @@ def bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
                         rows = []
                 yield pd.DataFrame(rows, columns=["path", *FIELDS])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "content")
     return files.repartition(max(1, len(files.inputFiles())), "path").mapInPandas(run, f"path string, {SCHEMA}")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,20 +72,50 @@ def write_sentences(df: DataFrame, path: str) -> None:
     df.select("sentence").write.mode("overwrite").text(path)
 
 
+def hadoop_path(path: str):
+    """A path of any file system that Spark reaches, and the file system."""
+    sc = SparkSession.active().sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def write_text(text: str, path: str) -> None:
+    """A small file, written whole."""
+    where, fs = hadoop_path(path)
+    out = fs.create(where, True)
+    out.write(text.encode())
+    out.close()
+
+
+def read_text(path: str) -> str:
+    where, fs = hadoop_path(path)
+    with_stream = SparkSession.active().sparkContext._jvm.org.apache.commons.io.IOUtils
+    data = fs.open(where)
+    try:
+        return bytes(with_stream.toByteArray(data)).decode()
+    finally:
+        data.close()
+
+
+def file_uri(path: str) -> str:
+    """The name by which Spark's `_metadata.file_path` calls a file."""
+    where, fs = hadoop_path(path)
+    return fs.makeQualified(where).toUri().toString()
+
+
 def write_parameters(values: Mapping[str, object], path: str) -> None:
-    """Tab-separated names and values, on the driver."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("".join(f"{k}\t{v}\n" for k, v in values.items()))
+    """Tab-separated names and values."""
+    write_text("".join(f"{k}\t{v}\n" for k, v in values.items()), path)
 
 
 def read_parameters(path: str) -> dict[str, str]:
-    return dict(line.split("\t", 1) for line in Path(path).read_text().splitlines() if "\t" in line)
+    return dict(line.split("\t", 1) for line in read_text(path).splitlines() if "\t" in line)
 
 
 def read_config(path: str) -> dict[str, object]:
-    """A JSON file of options; false and null leave an option at its default."""
-    return {k: v for k, v in json.loads(Path(path).read_text()).items() if v is not False and v is not None}
+    """A JSON file of options; null leaves an option at its default, false is a value like any other."""
+    return {k: v for k, v in json.loads(read_text(path)).items() if v is not None}
 
 
 def write_config(values: Mapping[str, object], path: str) -> None:
-    Path(path).write_text(json.dumps(dict(values), indent=2, default=str) + "\n")
+    write_text(json.dumps(dict(values), indent=2, default=str) + "\n", path)

@@ -179,7 +179,7 @@ def test_containment(spark):
     regs = [("a", 100, 200)] + [(rng.choice("ab"), s := rng.randint(0, 500), s + rng.randint(0, 200)) for _ in range(60)]
     r, q = spark.createDataFrame(regs, "chr string, start long, end long"), spark.createDataFrame(reads, "chr string, pos long, qlen int")
     brute = sorted((c, p, n, s, e) for c, p, n in reads for d, s, e in regs if c == d and p >= s and p + n <= e)
-    for x in (overlap.contained(q, r), overlap.contained_binned(q, r, 64), overlap.contained(q, r, few=3, width=50)):
+    for x in (overlap.contained(q, r), overlap.contained_binned(q, r, 64), overlap.contained(q, r, few=3), overlap.contained(q, r, few_bytes=10)):
         assert sorted(map(tuple, x.select("chr", "pos", "qlen", "r_start", "r_end").collect())) == brute
 
 
