@@ -79,15 +79,21 @@ def dorado(ref: Column, seq: Column, cigar: Column, flag: Column, mod_h: Column,
     none = lambda c: c.isNull() | (F.size(c) == 0)
     h, m = F.when(none(mod_h), zeros(mod_m)).otherwise(mod_h), F.when(none(mod_m), zeros(mod_h)).otherwise(mod_m)
     total = F.zip_with(h, m, lambda a, b: F.struct((a["pos"] - F.when(bit(flag, REVERSE), 1).otherwise(0)).alias("pos"), F.when(a["prob"] + b["prob"] >= threshold, "Z").otherwise("z").alias("call")))
-    placed = F.map_from_entries(F.array_distinct(F.filter(total, lambda x: x["pos"] >= 0)))
     n = F.length(seq) - 1
+    placed = F.transform(F.filter(total, lambda x: (x["pos"] >= 0) & (x["pos"] < n)), lambda x: F.struct(x["pos"].cast("int").alias("pos"), F.lit(0).alias("after"), x["call"].alias("call")))
     unknown = F.lit("z" if uncalled == "z" else ".")
 
-    def vector(r: Column, calls: Column) -> Column:
+    def rest(r: Column) -> Column:
+        """What stands where there is no call, for every place."""
         at_cpg = lambda i: (letter(r, i) == "C") & (letter(r, i + 1) == "G")
-        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(calls, i), F.when(at_cpg(i), unknown).otherwise("."))), "")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("pos"), F.lit(1).alias("after"), F.when(at_cpg(i), unknown).otherwise(".").alias("call")))
 
-    tag = project(F.when(n > 0, let(letters(ref), lambda r: let(placed, lambda c: vector(r, c)))).otherwise(""), cigar)
+    def vector(all_: Column) -> Column:
+        """The first of each place in order, which is a call if there is one: a sort, as looking places up in a map takes a search for each."""
+        first = F.filter(all_, lambda x, k: (k == 0) | (F.get(all_, F.greatest(k - 1, F.lit(0)))["pos"] != x["pos"]))
+        return F.array_join(F.transform(first, lambda x: x["call"]), "")
+
+    tag = project(F.when(n > 0, let(letters(ref), lambda r: let(F.array_sort(F.concat(placed, rest(r))), vector))).otherwise(""), cigar)
 
     def pick(t: Column, i: Column) -> Column:
         x = letter(t, i)

@@ -24,14 +24,16 @@ def decode_one(mm: str | None, ml: list[int] | None, seq: str | None, reverse: b
     if not mm or not seq:
         return out
     read = seq.upper().translate(COMPLEMENT)[::-1] if reverse else seq.upper()
-    used, probabilities = 0, ml or []
+    used, probabilities, of_base = 0, ml or [], {}
     for entry in filter(None, mm.split(";")):
         if not (e := ENTRY.match(entry)):
             continue
         base, strand, codes, deltas = e.groups()
         codes = [codes] if codes.isdigit() else list(codes)
         skip = [int(d) for d in deltas.split(",")[1:]]
-        places = [i for i, b in enumerate(read) if base == "N" or b == ("T" if base == "U" else base)]
+        if base not in of_base:
+            of_base[base] = [i for i, b in enumerate(read) if base == "N" or b == ("T" if base == "U" else base)]
+        places = of_base[base]
         at, found = -1, []
         for d in skip:
             at += d + 1

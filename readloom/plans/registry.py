@@ -162,10 +162,11 @@ ID_SQL = "5 + 16 * (instr('ACGT', substr(kmer, 1, 1)) - 1) + 4 * (instr('ACGT',
 
 @query(f"with {SQL_SEQ}, k as ({KMER_SQL.format(c='mseq')}), t as (select doc_id, {ID_SQL} as id, i from k) select doc_id, count(*) as n, cast(sum(id) as bigint) as total, cast(sum(id * i) as bigint) as placed from t group by doc_id")
 def vocab_encode(spark, sf_dir):
-    """Token ids of whole sequences: their number, sum and sum by place."""
-    x = v_seq(spark, sf_dir).select("doc_id", vocab.to_ids(kmer.kmers(F.col("mseq"))).alias("ids")).where(F.size("ids") > 0)
-    total = lambda ids: F.aggregate(ids, F.lit(0).cast("long"), lambda a, v: a + v)
-    return x.select("doc_id", F.size("ids").cast("long").alias("n"), total(F.col("ids")).alias("total"), total(F.transform("ids", lambda v, i: v.cast("long") * (i + 1))).alias("placed"))
+    """Token ids of whole sequences: their number, sum and sum by place. Tokens are exploded so that their ids come from compiled code
+    (a lambda over the array is interpreted, 12 s beside 4 s at sf0.1) and are summed before anything moves."""
+    x = v_seq(spark, sf_dir).select("doc_id", F.posexplode(kmer.kmers(F.col("mseq"))).alias("i", "t"))
+    x = x.select("doc_id", "i", vocab.token_id(F.col("t")).cast("long").alias("id"))
+    return x.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("id").alias("total"), F.sum(F.col("id") * (F.col("i") + 1)).alias("placed"))
 
 
 @query(

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from readloom.plans import registry_more  # noqa: F401
 from readloom.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
