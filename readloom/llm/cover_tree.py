@@ -1,12 +1,12 @@
 """Near-duplicate vectors by cover trees and dual traversal: all pairs at a cosine threshold, exactly.
 
 Unit vectors at a cosine of t are sqrt(2 - 2t) apart. The vectors of a label are dealt to cells, each
-around a pivot, and large cells to blocks of bounded size. Each block gets a cover tree: nested levels of
+around a pivot, a cell's to rings by their distance from it, and large rings to blocks of bounded size. Each block gets a cover tree: nested levels of
 centres with halving radii, where every node knows the distance to its farthest descendant. Two trees are
 traversed together, level by level: a pair of nodes whose centres are farther apart than the threshold
 and both covering radii is pruned with all below it; a pair so close that all below must link
-is counted as a whole; the others are split into their children. Cells are the level above: a vector meets
-another cell's blocks only if the threshold and that cell's covering radius let it.
+is counted as a whole; the others are split into their children. Rings are the level above: a vector meets a ring's
+blocks only if its own distance from that ring's pivot is within the threshold of the ring's.
 
 A pair of blocks gives its vectors' numbers of links and the edges of a spanning forest, both of the
 length of the blocks. Equal vectors of a label are one vector with a count.
@@ -26,8 +26,10 @@ from readloom.llm.common import components, cut
 
 #: Bounds within this of the threshold are left to the cosine itself.
 SLACK = 1e-6
-#: Vectors of a block; pivots of a label, and of all labels together (these are broadcast).
-BLOCK, PIVOTS, ALL_PIVOTS = 2048, 64, 16384
+#: Vectors of a block; pivots of a label, and the bytes of all pivots together (these are broadcast).
+BLOCK, PIVOTS, PIVOT_BYTES = 4096, 64, 64 << 20
+#: Bytes of vectors in a batch that a task sends on.
+SENT = 16 << 20
 
 
 def unit(v: Column) -> Column:
@@ -185,63 +187,130 @@ def block_pair(rows: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"id": pa.array(np.concatenate([ids[linked], ids[joined]]), pa.int64()), "other": pa.concat_arrays([pa.nulls(len(linked), pa.int64()), pa.array(ids[root[joined]], pa.int64())]), "n": pa.array(np.concatenate([n[linked], np.zeros(len(joined))]).astype(np.int64))})
 
 
-def links(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int = PIVOTS, all_pivots: int = ALL_PIVOTS) -> DataFrame:
+class Space:
+    """How the vectors of one large label are dealt: cells around pivots, a cell's rings by the distance from its pivot, and a ring's
+    blocks by a hash. Blocks are numbered through all rings."""
+
+    def __init__(self, centres: np.ndarray, bars: list[np.ndarray], block: int):
+        """bars: for each cell, how many vectors there are in each of BARS ranges of the distance."""
+        self.centres = centres
+        cell, low, high, blocks, self.ring_of = [], [], [], [], np.zeros((len(bars), BARS), np.int64)
+        for c, n in enumerate(bars):
+            held = 0
+            for k in range(BARS):
+                if not k or held and held + n[k] > block:
+                    cell.append(c)
+                    low.append(k)
+                    high.append(k)
+                    blocks.append(0)
+                    held = 0
+                held += n[k]
+                high[-1], blocks[-1] = k + 1, max(1, -(-int(held) // block))
+                self.ring_of[c, k] = len(cell) - 1
+        self.cell, self.blocks = np.array(cell), np.array(blocks)
+        self.low, self.high = np.array(low) * FARTHEST / BARS, np.array(high) * FARTHEST / BARS
+        self.first = np.cumsum(self.blocks) - self.blocks
+
+    def pairs(self, x: np.ndarray, number: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For vectors and hashes: each one's own block, and (row, block) wherever a block may hold something within eps of it. By the
+        triangle inequality such a thing is as far from its pivot as the vector is, give or take eps."""
+        d = apart(x @ self.centres.T)
+        own_cell = d.argmin(1)
+        ring = self.ring_of[own_cell, bar_of(d[np.arange(len(x)), own_cell])]
+        own = self.first[ring] + number % self.blocks[ring]
+        far = d[:, self.cell]
+        row, near = np.nonzero((far >= self.low - eps - SLACK) & (far <= self.high + eps + SLACK))
+        times = self.blocks[near]
+        start = np.repeat(self.first[near], times)
+        return own, np.repeat(row, times), start + np.arange(len(start)) - np.repeat(np.cumsum(times) - times, times)
+
+
+#: Ranges of the distance from a pivot that are counted, and the farthest that unit vectors are apart, with room for rounding.
+BARS, FARTHEST = 256, 2.0001
+
+
+def bar_of(far: np.ndarray) -> np.ndarray:
+    return np.minimum((far * (BARS / FARTHEST)).astype(np.int64), BARS - 1)
+
+
+def flat(batch: pa.RecordBatch, at: np.ndarray) -> np.ndarray:
+    """The vectors of some rows, which have one length."""
+    return batch.column("unit").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+
+
+def layout(vectors: DataFrame, block: int, pivots: int, pivot_bytes: int) -> dict[str, Space]:
+    """The large spaces of `vectors`. Every one has pivots, up to `pivots` and at least one, fewer for all where they would take more
+    than `pivot_bytes`; what the driver holds is a row for each large space, its pivots, and counts of ranges of their cells."""
+    spark = vectors.sparkSession
+    large = vectors.groupBy("space").agg(F.count("*").alias("n"), F.first(F.size("unit")).alias("size")).where(F.col("n") > block).collect()
+    if not large:
+        return {}
+    want = {r.space: min(pivots, -(-r.n // block)) for r in large}
+    scale = min(1, pivot_bytes / sum(8 * r.size * want[r.space] for r in large))
+    names = spark.createDataFrame([(s, max(1, int(w * scale))) for s, w in want.items()], "space string, want int")
+    # The vector of least hash among each of `want` shares of a space.
+    some = vectors.join(F.broadcast(names), "space").groupBy("space", F.pmod(F.xxhash64("id", F.lit(7)), "want")).agg(F.min_by("unit", F.xxhash64("id", F.lit(8))).alias("unit"))
+    got = some.select("space", "unit").toArrow()
+    spaces = np.array(got.column("space").to_pylist(), object)
+    chosen = {s: flat(got.combine_chunks().to_batches()[0], np.flatnonzero(spaces == s)) for s in want}
+    shared = spark.sparkContext.broadcast(chosen)
+
+    def count(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            space = np.array(batch.column("space").to_pylist(), object)
+            for s in set(space.tolist()):
+                centres = shared.value[s]
+                d = apart(flat(batch, np.flatnonzero(space == s)) @ centres.T)
+                cell = d.argmin(1)
+                n = held.setdefault(s, np.zeros(len(centres) * BARS, np.int64))
+                n += np.bincount(cell * BARS + bar_of(d[np.arange(len(d)), cell]), minlength=len(n))
+        rows = [(s, int(k), int(n[k])) for s, n in held.items() for k in np.flatnonzero(n)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int32(), pa.int64()))], ["space", "k", "n"])
+
+    counted = vectors.join(F.broadcast(names), "space").select("space", "unit").mapInArrow(count, "space string, k int, n long")
+    bars = {s: np.zeros((len(c), BARS), np.int64) for s, c in chosen.items()}
+    for r in counted.groupBy("space", "k").agg(F.sum("n").alias("n")).toLocalIterator():
+        bars[r.space][r.k // BARS, r.k % BARS] = r.n
+    shared.unpersist()
+    return {s: Space(c, list(bars[s]), block) for s, c in chosen.items()}
+
+
+def links(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int = PIVOTS, pivot_bytes: int = PIVOT_BYTES) -> DataFrame:
     """Partial results of all pairs of blocks. vectors: distinct (space, unit) with id and copies."""
     spark, eps = vectors.sparkSession, math.sqrt(2 - 2 * cosine)
-    # Spaces with more than a block get pivots: those of least hash. There are at most all_pivots of them.
-    large = vectors.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") > block).orderBy(F.desc("n"), "space").limit(all_pivots // pivots).collect()
-    chosen: dict = {}
-    if large:
-        names = spark.createDataFrame([(r.space, float(min(pivots, -(-r.n // block))) * 4 / r.n, min(pivots, -(-r.n // block))) for r in large], f"space {vectors.schema['space'].dataType.simpleString()}, share double, want int")
-        draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-        some = vectors.join(F.broadcast(names), "space").where(draw < F.col("share")).select("space", "want", "unit", draw.alias("draw")).orderBy("draw").limit(all_pivots * 4).collect()
-        for r in some:
-            if len(chosen.setdefault(r.space, [])) < r.want:
-                chosen[r.space].append(r.unit)
-    centres = {s: np.array(u) for s, u in chosen.items()}
-    shared = spark.sparkContext.broadcast(centres)
-    kind = vectors.schema["space"].dataType.simpleString()
-
-    def to_cells(batches):
-        for batch in batches:
-            spaces, cells = batch.column("space").to_pylist(), np.zeros(batch.num_rows, np.int64)
-            far = np.zeros(batch.num_rows)
-            for s in set(spaces) & set(shared.value):
-                at = np.flatnonzero([x == s for x in spaces])
-                x = batch.column("unit").take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
-                d = apart(x @ shared.value[s].T)
-                cells[at] = d.argmin(1)
-                far[at] = d.min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(far)], [*batch.schema.names, "cell", "far"])
-
-    celled = cut(vectors.select("space", "unit", "id", "copies").mapInArrow(to_cells, f"space {kind}, unit array<double>, id long, copies long, cell int, far double"))
-    sizes = celled.groupBy("space", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    # Each space's cells, a bounded number, side by side with its vectors.
-    of = sizes.groupBy("space").agg(F.array_sort(F.collect_list(F.struct("cell", "blocks", "radius"))).alias("cells"))
+    shared = spark.sparkContext.broadcast(layout(vectors, block, pivots, pivot_bytes))
 
     def to_pairs(batches):
+        """A vector for each block that it may have links in, with the pair of that block and its own."""
+
+        def out(batch, at, key, side, alone):
+            part = batch.take(pa.array(at))
+            columns = [part.column(c) for c in ("space", "id", "copies", "unit")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(key, pa.string()), pa.array(side, pa.int32()), pa.array(alone, pa.bool_())], ["space", "id", "copies", "unit", "key", "side", "alone"])
+
         for batch in batches:
-            space, cell, ids = batch.column("space").to_pylist(), batch.column("cell").to_pylist(), batch.column("id").to_pylist()
-            cells = batch.column("cells").to_pylist()
-            take, key, side, alone = [], [], [], []
-            for r, s in enumerate(space):
-                own = next(c for c in cells[r] if c["cell"] == cell[r])
-                mine = (cell[r], (ids[r] * 0x9E3779B97F4A7C15 % (1 << 64) >> 20) % own["blocks"])
-                centre = shared.value.get(s)
-                d = None if centre is None else apart(centre @ batch.column("unit")[r].values.to_numpy())
-                for c in cells[r]:
-                    if c["cell"] != cell[r] and d is not None and d[c["cell"]] > c["radius"] + eps + SLACK:
-                        continue
-                    for k in range(c["blocks"]):
-                        other = (c["cell"], k)
-                        take.append(r)
-                        key.append("{}.{}-{}.{}".format(*min(mine, other), *max(mine, other)))
-                        side.append(int(mine > other))
-                        alone.append(mine == other)
-            part = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("space"), pa.array(key, pa.string()), part.column("id"), part.column("copies"), part.column("unit"), pa.array(side, pa.int32()), pa.array(alone, pa.bool_())], ["space", "key", "id", "copies", "unit", "side", "alone"])
-
-    pairs = celled.join(of, "space").select("space", "unit", "id", "copies", "cell", "cells").mapInArrow(to_pairs, f"space {kind}, key string, id long, copies long, unit array<double>, side int, alone boolean")
+            space = np.array(batch.column("space").to_pylist(), object)
+            known = {s: np.flatnonzero(space == s) for s in set(space.tolist()) & set(shared.value)}
+            rest = np.setdiff1d(np.arange(len(space)), np.concatenate([np.empty(0, np.int64), *known.values()]))
+            if len(rest):
+                yield out(batch, rest, ["0-0"] * len(rest), np.zeros(len(rest)), np.ones(len(rest), bool))
+            number = (batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+            for s, at in known.items():
+                for a in range(0, len(at), 256):
+                    rows = at[a : a + 256]
+                    x = flat(batch, rows)
+                    own, row, other = shared.value[s].pairs(x, number[rows], eps)
+                    mine = own[row]
+                    low, high = np.minimum(mine, other), np.maximum(mine, other)
+                    step = max(1, SENT // (8 * x.shape[1] + 100))  # rows of a batch that is sent
+                    for k in range(0, len(row), step):
+                        cut_ = slice(k, k + step)
+                        key = [f"{i}-{j}" for i, j in zip(low[cut_].tolist(), high[cut_].tolist())]
+                        yield out(batch, rows[row[cut_]], key, mine[cut_] > other[cut_], mine[cut_] == other[cut_])
+
+    kind = "space string, id long, copies long, unit array<double>, key string, side int, alone boolean"
+    pairs = vectors.select("space", "unit", "id", "copies").mapInArrow(to_pairs, kind)
     return pairs.groupBy("space", "key").applyInArrow(lambda t: block_pair(t, cosine), "id long, other long, n long")
 
 
@@ -249,7 +318,8 @@ def near_vectors(df: DataFrame, cosine: float = 0.93, id_column: str = "vec_id",
     """(id, n_links, component_id, kept) for every row. Vectors link if their labels are equal and not null, their
     lengths are equal, and their cosine in double precision is at least `cosine`. A vector that is null, zero or
     has a null or non-finite component links with nothing, nor does a row without an id (its component is null
-    and it isn't kept). Repeated rows stay repeated and count as each other's links."""
+    and it isn't kept). Repeated rows stay repeated and count as each other's links. An empty table gives no rows; further columns
+    of `df` don't matter, whatever their names."""
     v = df.select(F.col(id_column).cast("long").alias("id"), F.col(label_column).alias("label"), unit(F.col(vector_column)).alias("unit"))
     v = cut(v.withColumn("unit", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), F.col("unit"))))
     fine = v.where("unit is not null").withColumn("space", F.struct("label", F.size("unit").alias("n")).cast("string"))

@@ -443,6 +443,43 @@ def test_cover_tree(spark, block, pivots):
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in one), key=repr) == [(0, 0, 0, True), (None, 0, None, False)]
 
 
+def test_rings_hold_all_that_may_link():
+    """Every pair within the threshold meets in the pair of its blocks, from both sides; every vector meets its own block."""
+    rng = np.random.default_rng(12)
+    eps = math.sqrt(2 - 2 * 0.93)
+    for scale in (0.02, 0.2, 1):
+        x = np.concatenate([c + rng.normal(scale=scale, size=(100, 6)) for c in rng.normal(size=(5, 6))])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        centres = x[rng.choice(500, 4, replace=False)]
+        d = cover_tree.apart(x @ centres.T)
+        cell = d.argmin(1)
+        bars = [np.bincount(cover_tree.bar_of(d[cell == c, c]), minlength=cover_tree.BARS) for c in range(4)]
+        space = cover_tree.Space(centres, bars, 30)
+        number = rng.integers(0, 1 << 40, 500)
+        own, row, block = space.pairs(x, number, eps)
+        meets = np.zeros((500, space.blocks.sum()), bool)
+        meets[row, block] = True
+        assert meets.sum() == len(row) and meets[np.arange(500), own].all()
+        u, v = np.nonzero(x @ x.T >= 0.93)
+        assert meets[u, own[v]].all()
+
+
+def test_cover_tree_of_many_labels_with_pivots(spark):
+    """More large labels than pivots have room for: each still has one, and the result is that of brute force."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([c + rng.normal(scale=0.15, size=(30, 5)) for c in rng.normal(size=(12, 5))])
+    label = np.repeat(np.arange(6), 60)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int").repartition(4)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = (u @ u.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    root = least_reachable(len(x), list(zip(*np.nonzero(np.triu(hit)))))
+    vectors_ = df.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("space"), cover_tree.unit(F.col("embedding")).alias("unit"), F.lit(1).cast("long").alias("copies"))
+    made = cover_tree.layout(vectors_, 20, 8, 2 * 6 * 8 * 5)
+    assert len(made) == 6 and all(1 <= len(s.centres) <= 2 for s in made.values())
+    got = cover_tree.near_vectors(df, block=20, pivots=8).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id) for r in got] == list(zip(hit.sum(1).tolist(), root))
+
+
 def test_dual_traversal_counts_every_pair():
     rng = np.random.default_rng(8)
     for scale in (0.01, 0.1, 0.3):
