@@ -60,6 +60,50 @@ def test_stages(spark):
     assert frame(corpus_pipeline.run(spark, SF)).equals(got)
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, hash long, size long, id long, copies int"
+GOOD = "The thing that was in the other place is not there now, and we are to go on with it as it is."
+
+
+def odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and further columns with the operators' own names."""
+    texts = [GOOD, GOOD, None, "", " \n", GOOD + " And so it went on for a while.", "x### y$$$ z%%% !!! | " * 40, (GOOD + "\n") * 20000, "a" * 100_000]
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 2}" if i % 3 else None, None, 1, 2, 3, 4, 5) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], rows[3], (None, GOOD, None, None, None, None, None, None, None, None), (None,) * 10]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def test_stages_of_odd_rows_and_empty_tables(spark):
+    labels = f"{SF}/labels.parquet"
+    stages, docs = dict(corpus_pipeline.STAGES), odd_rows(spark)
+    rows = [tuple(r) for r in docs.collect()]
+    model = quality_crf.train(docs, spark.read.parquet(labels))
+    kept = stages["quality"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if model.scores([r[1] and r[1].encode()])[0] >= 0.7)
+    one = [tuple(r) for r in stages["near_duplicates"](spark, docs, SF).collect()]
+    fp = {t: int(f) for t in {r[1] for r in rows} for f in simhash.fingerprints_of([t and t.encode()]).view(np.uint64)}
+    near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3
+    assert set(one) <= set(rows) and Counter(r for r in one if r[0] is None) == Counter(r for r in rows if r[0] is None)
+    ids = [r[0] for r in one if r[0] is not None]
+    assert len(ids) == len(set(ids)) and not any(near(a[1], b[1]) for a in one for b in one if a[0] is not None and b[0] is not None and a[0] != b[0])
+    assert all(any(near(r[1], x[1]) for x in rows if x[0] in ids) for r in rows)
+    mixed = stages["mixing"](spark, docs, SF)
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r.doc_id] += r.copies
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == +copies
+    got = stages["encoding"](spark, docs, SF)
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in rows) and {r.n_tokens for r in got.where("doc_id in (2, 3)").collect()} == {0}
+    for stage in stages.values():
+        assert not stage(spark, docs.limit(0), SF).count()
+
+
+def test_run_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert not corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
 def test_repeated_ids_lose_copies_only(spark):
     a, b, c = ("%s one two three four five six seven" % x * 3 for x in ("red", "blue", "green"))
     fp = simhash.fingerprints_of([x.encode() for x in (a, b, c)]).view(np.uint64)
