@@ -32,6 +32,10 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--seed", type=int)
     v = verb("finetune", "train_dataset", "output_path", "test_dataset")
     v.add_argument("--iterations", type=int)
+    for name in ("steps", "warmup", "decrease", "batches", "eval_freq", "save_freq"):
+        v.add_argument(f"--{name}", type=int)
+    v.add_argument("--lr", type=float)
+    v.add_argument("--loss", choices=["cross_entropy", "focal"])
     v = verb("deconvolute", "model_dir", "input_data", "output_path", "train_dataset")
     v.add_argument("--n_grid", type=int)
     v.add_argument("--adjustment", action=argparse.BooleanOptionalAction)

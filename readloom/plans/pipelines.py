@@ -15,7 +15,7 @@ from readloom.operators.regions import harmonise_contigs, prefixed, select_conti
 from readloom.operators.split import Ratio, shuffled, split, split_mode
 from readloom.plans.extract import Extractor, Options, extract
 from readloom.plans.purity import deconvolve
-from readloom.plans.scorer import Scorer, evaluate
+from readloom.plans.scorer import LinearScorer, Scorer, Steps, evaluate, load_scorer, train_steps
 from readloom.sources import sam as alignments
 from readloom.sources import tables
 from readloom.sources.fasta import contig_lines, genome_chunks, ordered_lines
@@ -70,18 +70,31 @@ def preprocess(spark: SparkSession, f_dmr: str, f_ref: str, output_path: str, in
     return parts
 
 
-def finetune(spark: SparkSession, train_dataset: str, output_path: str, test_dataset: str | None = None, iterations: int = 50, **parameters) -> Scorer:
-    """Trains and saves a classifier, with train.csv (the loss of each step), eval.csv if there is a test set, and train_param.txt."""
+def finetune(spark: SparkSession, train_dataset: str, output_path: str, test_dataset: str | None = None, iterations: int = 50, **parameters) -> Scorer | LinearScorer:
+    """Trains and saves a classifier, with train.csv, eval.csv if there is a test set, and train_param.txt. With `steps` among the
+    parameters (those of scorer.Steps) it is trained by steps: train.csv has loss, accuracy and rate of each, the model that was best on
+    the test set is saved, and those of every `save_freq` steps beside it; else by quasi-Newton iterations, whose loss train.csv has."""
     train = tables.reads(spark, train_dataset)
-    scorer = Scorer.fit(train, iterations=iterations)
+    test = tables.reads(spark, test_dataset) if test_dataset else None
+    used = {"iterations": iterations}
+    if "steps" in parameters:
+        how = Steps(**parameters)
+        scorer, log, evaluations = train_steps(train, test, how, lambda step, s: s.save(f"{output_path}/read_model_step{step}"))
+        log, used = spark.createDataFrame(log, "step int, loss double, ctype_acc double, lr double"), vars(how)
+        evaluations = spark.createDataFrame(evaluations, "step int, loss double, ctype_acc double")
+    else:
+        if parameters:
+            raise ValueError(f"without steps there are no parameters {', '.join(parameters)}")
+        scorer = Scorer.fit(train, iterations=iterations)
+        trace = [(s, float(loss)) for s, loss in scorer.trace()]
+        log = spark.createDataFrame(trace, "step int, loss double")
+        evaluations = evaluate(scorer.transform(test)).select(F.lit(len(trace)).alias("step"), "loss", "ctype_acc") if test else None
     scorer.save(f"{output_path}/read_model")
-    trace = [(s, float(loss)) for s, loss in scorer.trace()]
-    tables.write_tsv(spark.createDataFrame(trace, "step int, loss double"), f"{output_path}/train.csv", single=True)
-    if test_dataset:
-        e = evaluate(scorer.transform(tables.reads(spark, test_dataset))).withColumn("step", F.lit(len(trace)))
-        tables.write_tsv(e.select("step", "loss", "ctype_acc"), f"{output_path}/eval.csv", single=True)
+    tables.write_tsv(log, f"{output_path}/train.csv", single=True)
+    if test:
+        tables.write_tsv(evaluations, f"{output_path}/eval.csv", single=True)
     regions = n_regions(train).first()["n_dmrs"]
-    tables.write_parameters({"train_dataset": train_dataset, "test_dataset": test_dataset, "n_dmrs": regions, "iterations": iterations} | parameters, f"{output_path}/train_param.txt")
+    tables.write_parameters({"train_dataset": train_dataset, "test_dataset": test_dataset, "n_dmrs": regions} | used, f"{output_path}/train_param.txt")
     return scorer
 
 
@@ -96,7 +109,7 @@ def deconvolute(spark: SparkSession, model_dir: str, input_data: str, output_pat
     if train_dataset is None:
         parameters = tables.read_parameters(f"{model_dir}/train_param.txt")
         train_dataset = parameters["train_dataset"]
-    scorer = scorer or Scorer.load(f"{model_dir}/read_model")
+    scorer = scorer or load_scorer(f"{model_dir}/read_model")
     scored = classify(tables.reads(spark, input_data), scorer).persist()
     tables.write_tsv(scored.drop("P_N"), f"{output_path}/res.csv")
     shares, details = deconvolve(scored, tables.reads(spark, train_dataset), n_grid, adjustment)

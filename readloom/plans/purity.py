@@ -44,7 +44,8 @@ def squared_skewness(x: np.ndarray, mean: float) -> float:
 
 
 def quasi_newton(f, x: np.ndarray, steps: int = 200, tolerance: float = 1e-5) -> np.ndarray:
-    """A minimum of f by BFGS with forward differences and halved steps."""
+    """A minimum of f by BFGS with forward differences. The first move has a length of 1 at most; a step must lower f enough and
+    leave the slope flatter (the weak Wolfe conditions), found by halving and doubling."""
 
     def gradient(x, fx):
         g, h = np.empty_like(x), 1.5e-8
@@ -56,21 +57,32 @@ def quasi_newton(f, x: np.ndarray, steps: int = 200, tolerance: float = 1e-5) ->
 
     inverse, fx = np.eye(len(x)), f(x)
     g = gradient(x, fx)
-    for _ in range(steps):
+    for step in range(steps):
         if not np.isfinite(fx) or np.abs(g).max() < tolerance:
             break
-        move, t = -inverse @ g, 1.0
+        move = -inverse @ g
         slope = g @ move
         if slope >= 0:
             inverse, move = np.eye(len(x)), -g
             slope = g @ move
-        while t > 1e-10 and not f(x + t * move) <= fx + 1e-4 * t * slope:
-            t /= 2
-        if t <= 1e-10:
-            break
-        new = x + t * move
-        f_new = f(new)
-        g_new = gradient(new, f_new)
+        t, low, high = min(1.0, 1 / np.linalg.norm(move)) if not step else 1.0, 0.0, np.inf
+        for _ in range(40):
+            new = x + t * move
+            f_new = f(new)
+            if not f_new <= fx + 1e-4 * t * slope:
+                high = t
+            else:
+                g_new = gradient(new, f_new)
+                if g_new @ move >= 0.9 * slope:
+                    break
+                low = t
+            t = (low + high) / 2 if np.isfinite(high) else 2 * t
+        else:
+            if not low:
+                break
+            new = x + low * move
+            f_new = f(new)
+            g_new = gradient(new, f_new)
         s, y = new - x, g_new - g
         if (sy := s @ y) > 1e-12:
             e = np.eye(len(x)) - np.outer(s, y) / sy

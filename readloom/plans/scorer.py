@@ -3,7 +3,9 @@ region; any batch model can take its place."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.encode import frame_codes, frame_ids
@@ -19,6 +21,10 @@ from readloom.functions.kmer import digits_to_codes
 from readloom.functions.losses import cross_entropy
 from readloom.functions.vocab import sentence_to_ids
 from readloom.operators.labels import accuracy, is_region_class
+from readloom.sources.tables import hadoop_path, read_text, write_text
+
+#: The weight of the positive class and the exponent of the focal loss.
+ALPHA, GAMMA = 0.1, 2
 
 
 def terms(df: DataFrame) -> DataFrame:
@@ -78,6 +84,124 @@ class BatchScorer:
         return x.withColumn("P_N", F.col("p")[0]).withColumn("P_ctype", F.col("p")[1]).withColumn("pred", (F.col("P_ctype") > F.col("P_N")).cast("int")).drop("p")
 
 
+class LinearScorer:
+    """A weight for each of `features` hashed terms and a bias. What `train_steps` makes."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights  # the bias last
+
+    @property
+    def features(self) -> int:
+        return len(self.weights) - 1
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        weights = self.weights
+
+        @F.pandas_udf("double")
+        def chance(ids: pd.Series) -> pd.Series:
+            return pd.Series([1 / (1 + np.exp(-np.clip(weights[np.asarray(i, np.int64)].sum() + weights[-1], -500, 500))) for i in ids])
+
+        x = terms(df).withColumn("P_ctype", chance(term_ids(self.features))).drop("terms")
+        return x.withColumn("P_N", 1 - F.col("P_ctype")).withColumn("pred", (F.col("P_ctype") > F.col("P_N")).cast("int"))
+
+    def save(self, path: str) -> None:
+        write_text(json.dumps(self.weights.tolist()), f"{path}/weights.json")
+
+    @classmethod
+    def load(cls, path: str) -> LinearScorer:
+        return cls(np.array(json.loads(read_text(f"{path}/weights.json"))))
+
+
+def term_ids(features: int) -> Column:
+    return F.transform("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(features)).cast("int"))
+
+
+def load_scorer(path: str) -> Scorer | LinearScorer:
+    """A saved scorer of either kind."""
+    where, fs = hadoop_path(f"{path}/weights.json")
+    return LinearScorer.load(path) if fs.exists(where) else Scorer.load(path)
+
+
+def loss_and_slope(z: np.ndarray, y: np.ndarray, loss: str) -> tuple[np.ndarray, np.ndarray]:
+    """The loss of each logit and its derivative: cross-entropy, or focal with the weights of `losses.sigmoid_focal`."""
+    sign = np.where(y == 1, 1.0, -1.0)
+    p = 1 / (1 + np.exp(-np.clip(sign * z, -30, 30)))  # of the true class
+    if loss == "cross_entropy":
+        return -np.log(p), sign * (p - 1)
+    share = np.where(y == 1, ALPHA, 1 - ALPHA)
+    return -share * (1 - p) ** GAMMA * np.log(p), sign * share * (1 - p) ** GAMMA * (GAMMA * p * np.log(p) + p - 1)
+
+
+@dataclass(frozen=True)
+class Steps:
+    """How `train_steps` goes: batches are shares of the rows by a hash; the rate rises over `warmup` steps and falls to zero from
+    `decrease` on; every `eval_freq` steps the test set is scored, every `save_freq` the model of the time is kept."""
+
+    steps: int = 100
+    lr: float = 0.05
+    warmup: int = 10
+    decrease: int = 80
+    loss: str = "cross_entropy"
+    batches: int = 1
+    eval_freq: int = 10
+    save_freq: int = 0
+    features: int = 1 << 14
+    penalty: float = 1e-4
+
+    def __post_init__(self):
+        if self.loss not in ("cross_entropy", "focal"):
+            raise ValueError("the loss is cross_entropy or focal")
+        if not 0 <= self.warmup <= self.decrease <= self.steps or self.batches < 1:
+            raise ValueError("0 <= warmup <= decrease <= steps and at least one batch are needed")
+
+    def rate(self, step: int) -> float:
+        rise = min(1.0, step / self.warmup) if self.warmup else 1.0
+        fall = max(0.0, (self.steps - step) / (self.steps - self.decrease)) if step >= self.decrease < self.steps else 1.0
+        return self.lr * (rise if step <= self.warmup else fall)
+
+
+def train_steps(train: DataFrame, test: DataFrame | None = None, how: Steps = Steps(), keep=None) -> tuple[LinearScorer, list[tuple], list[tuple]]:
+    """Adam by distributed steps: every task sums the gradient of its rows of the step's batch. Gives the model that was best on the test
+    set (the last without one), a row (step, loss, ctype_acc, lr) of each step, and (step, loss, ctype_acc) of each evaluation.
+    keep(step, model) is called every `save_freq` steps."""
+    n = how.features
+    x = terms(train).select(term_ids(n).alias("ids"), is_region_class().alias("y"), F.pmod(F.xxhash64("dna_seq", "methyl_seq", "dmr_label"), F.lit(how.batches)).alias("batch")).persist()
+    w, m, v = (np.zeros(n + 1) for _ in range(3))
+    best, best_acc, log, evaluations = w.copy(), -1.0, [], []
+    for step in range(1, how.steps + 1):
+
+        def gradient(batches, w=w):
+            g, total, right, rows = np.zeros(n + 1), 0.0, 0, 0
+            for pdf in batches:
+                size = pdf["ids"].map(len).to_numpy(np.int64)
+                ids, row = np.concatenate([np.empty(0, np.int64), *pdf["ids"]]).astype(np.int64), np.repeat(np.arange(len(pdf)), size)
+                z, y = np.bincount(row, weights=w[ids], minlength=len(pdf)) + w[-1], pdf["y"].to_numpy()
+                each, slope = loss_and_slope(z, y, how.loss)
+                g += np.bincount(ids, weights=slope[row], minlength=n + 1)
+                g[-1] += slope.sum()
+                total, right, rows = total + each.sum(), right + int(((z > 0) == (y == 1)).sum()), rows + len(pdf)
+            yield pd.DataFrame([(g.tolist(), total, right, rows)], columns=["g", "loss", "n_right", "rows"])
+
+        of_step = x if how.batches == 1 else x.where(F.col("batch") == step % how.batches)
+        got = of_step.select("ids", "y").mapInPandas(gradient, "g array<double>, loss double, n_right long, rows long").where("rows > 0").collect()  # a row for each task
+        rows = sum(r.rows for r in got)
+        if not rows:
+            continue
+        g = sum(np.array(r.g) for r in got) / rows + how.penalty * w
+        log.append((step, sum(r.loss for r in got) / rows, sum(r.n_right for r in got) / rows, how.rate(step)))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - how.rate(step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if test is not None and how.eval_freq and (step % how.eval_freq == 0 or step == how.steps):
+            e = evaluate(LinearScorer(w).transform(test)).first()
+            evaluations.append((step, e["loss"], e["ctype_acc"]))
+            if e["ctype_acc"] is not None and e["ctype_acc"] > best_acc:
+                best, best_acc = w.copy(), e["ctype_acc"]
+        if keep and how.save_freq and step % how.save_freq == 0:
+            keep(step, LinearScorer(w))
+    x.unpersist()
+    return LinearScorer(w if best_acc < 0 else best), log, evaluations
+
+
 def evaluate(scored: DataFrame) -> DataFrame:
     """One row (loss, ctype_acc) of scored reads with labels."""
     logit = F.ln(F.greatest("P_ctype", F.lit(1e-300))) - F.ln(F.greatest("P_N", F.lit(1e-300)))

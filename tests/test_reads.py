@@ -5,6 +5,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from readloom.operators import corpus, labels, overlap, regions, split
 from readloom.plans import pipelines
 from readloom.plans.extract import Options
 from readloom.plans.likelihood import best_on_grid, grid_likelihood
-from readloom.plans.purity import deconvolve, mixture, purity
-from readloom.plans.scorer import BatchScorer
+from readloom.plans.purity import adjusted_purity, deconvolve, mixture, purity, quasi_newton, squared_skewness
+from readloom.plans.scorer import BatchScorer, LinearScorer, Steps, loss_and_slope
 from readloom.sources import fasta, sam, tables
 
 
@@ -151,6 +152,34 @@ def test_masking(spark):
     assert mask.neighbours(3) == [-1, 1] and mask.neighbours(4) == [-1, 1, -2]
 
 
+def test_slopes_of_losses(spark):
+    z, y = np.linspace(-4, 4, 17), np.arange(17) % 2
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(z, y)], "z double, y int")
+    for name, column in (("cross_entropy", losses.cross_entropy(F.lit(0.0), F.col("z"), F.col("y"))), ("focal", losses.sigmoid_focal(F.col("z"), F.col("y")))):
+        each, slope = loss_and_slope(z, y, name)
+        assert np.allclose(each, [r.x for r in df.select(column.alias("x")).collect()])
+        assert np.allclose(slope, (loss_and_slope(z + 1e-6, y, name)[0] - each) / 1e-6, atol=1e-4)
+
+
+def test_false_in_a_file_of_options(spark, tmp_path):
+    tables.write_config({"ignore_sex_chromo": False, "n_dmrs": None, "seed": 3}, str(tmp_path / "o.json"))
+    assert tables.read_config(str(tmp_path / "o.json")) == {"ignore_sex_chromo": False, "seed": 3}
+
+
+def test_adjustment_over_several_regions(spark):
+    """Shares that lie evenly about their mean need no weights; skewed ones get weights under which they are hardly skewed."""
+    even = [0.1, 0.2, 0.3, 0.4, 0.5]
+    df = lambda x: spark.createDataFrame(list(enumerate(x)), "dmr_label int, theta double")
+    assert abs(adjusted_purity(df(even)) - 0.3) < 1e-9 and adjusted_purity(df([0.7])) == 0.7
+    skewed = [0.2, 0.21, 0.22, 0.23, 0.9, 0.24, 0.2, 0.25]
+    x = np.array(skewed)
+    estimate = x.mean()
+    w = quasi_newton(lambda w: squared_skewness(x * w, estimate), np.ones(len(x)))
+    assert squared_skewness(x * w, estimate) < 1e-3 * squared_skewness(x, estimate)
+    assert abs(adjusted_purity(df(skewed), rounds=1) - np.clip((x * w).mean(), 0, 1)) < 1e-9
+    assert 0 <= adjusted_purity(df(skewed)) <= 1
+
+
 def test_losses(spark):
     df = spark.range(11)
     got = [r.x for r in df.select(losses.rate_multiplier(F.col("id"), 3, 6, 10).alias("x")).collect()]
@@ -302,6 +331,17 @@ def test_files_end_to_end(spark, tmp_path):
     assert len(first.dna_seq.split(" ")) == len(first.methyl_seq) == 77
     pipelines.finetune(spark, f"{out}/train_seq.csv", f"{out}/model", f"{out}/test_seq.csv", iterations=5)
     assert {r.n_dmrs for r in labels.n_regions(train).collect()} == {4}
+    assert tables.tsv(spark, f"{out}/model/train.csv").columns == ["step", "loss"]
+    stepped = pipelines.finetune(spark, f"{out}/train_seq.csv", f"{out}/steps", f"{out}/test_seq.csv", steps=12, warmup=3, decrease=9, lr=0.1, loss="focal", eval_freq=5, save_freq=6, batches=2, features=512)
+    log, evals = tables.tsv(spark, f"{out}/steps/train.csv").toPandas(), tables.tsv(spark, f"{out}/steps/eval.csv").toPandas()
+    assert list(log.columns) == ["step", "loss", "ctype_acc", "lr"] and len(log) == 12 and set(evals["step"].astype(int)) == {5, 10, 12}
+    assert float(log["loss"].iloc[-1]) < float(log["loss"].iloc[0]) and max(evals["ctype_acc"].astype(float)) > 0.9
+    assert [round(float(r), 4) for r in log["lr"][[0, 2, 5, 8, 10]]] == [0.0333, 0.1, 0.1, 0.1, 0.0333]
+    assert (LinearScorer.load(f"{out}/steps/read_model").weights == stepped.weights).all() and all(LinearScorer.load(f"{out}/steps/read_model_step{k}").features == 512 for k in (6, 12))
+    by_steps = pipelines.deconvolute(spark, f"{out}/steps", f"{out}/test_seq.csv", f"{out}/stepped", n_grid=100)
+    assert abs(sum(r.pred for r in by_steps.collect()) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        Steps(loss="other")
     shares = pipelines.deconvolute(spark, f"{out}/model", f"{out}/test_seq.csv", f"{out}/result", n_grid=100, adjustment=True)
     assert abs(sum(r.pred for r in shares.collect()) - 1) < 1e-9
     assert tables.tsv(spark, f"{out}/result/FI.csv").count() == test.select("dmr_label").distinct().count()
