@@ -122,7 +122,6 @@ def deconvolute(spark: SparkSession, model_dir: str, input_data: str, output_pat
 
 def corpus(spark: SparkSession, f_ref: str, output_path: str, seq_len: int = 510, k: int = 3, compatible: bool = False) -> DataFrame:
     """Writes a pretraining corpus of a genome, a sentence in each line."""
-    lines = ordered_lines(spark, f_ref).withColumn("line_no", F.struct("block", "line_no"))
-    out = windows(lines, seq_len, k, compatible, "file")
+    out = windows(ordered_lines(spark, f_ref), seq_len, k, compatible, "file", "block")
     tables.write_sentences(out, output_path)
     return out

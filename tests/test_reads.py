@@ -152,6 +152,24 @@ def test_masking(spark):
     assert mask.neighbours(3) == [-1, 1] and mask.neighbours(4) == [-1, 1, -2]
 
 
+@pytest.mark.parametrize("compatible", [False, True])
+def test_corpus_windows_by_blocks(spark, compatible):
+    """A file in blocks of any size gives the windows of the whole; also where a header, a gap or a blank line ends a block."""
+    rng = random.Random(8)
+    for turn in range(4):
+        lines = []
+        for f in "ab":
+            text = [rng.choice([">chr1", ">chr2 x", ">chrM", ">chrUn"])] + ["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 14))) if rng.random() < 0.85 else rng.choice(["ANA", ">chr3", ">chrN", "NN", ">chrM"]) for _ in range(60)]
+            text.insert(rng.randint(30, 60), "")
+            lines += [(f, i, t) for i, t in enumerate(text)]
+        size = rng.choice([1, 3, 7, 20])
+        whole = spark.createDataFrame(lines, "file string, line_no long, line string")
+        parted = spark.createDataFrame([(f, i // size * 1000, i % size, t) for f, i, t in lines], "file string, block long, line_no long, line string")
+        rows = lambda x: sorted(map(tuple, x.select("file", "run", "chunk", "sentence").collect()))
+        expected = rows(corpus.windows(whole, 9, 3, compatible, "file"))
+        assert expected and rows(corpus.windows(parted, 9, 3, compatible, "file", "block")) == expected
+
+
 def test_slopes_of_losses(spark):
     z, y = np.linspace(-4, 4, 17), np.arange(17) % 2
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(z, y)], "z double, y int")
