@@ -26,8 +26,9 @@ from readloom.llm.common import components, cut
 
 #: Bounds within this of the threshold are left to the cosine itself.
 SLACK = 1e-6
-#: Vectors of a block; pivots of a label, and the bytes of all pivots together (these are broadcast).
-BLOCK, PIVOTS, PIVOT_BYTES = 4096, 64, 64 << 20
+#: Vectors of a block; pivots of a label, one for each EACH vectors at most, and the bytes of all pivots together (these are broadcast).
+BLOCK, PIVOTS, PIVOT_BYTES = 4096, 1024, 64 << 20
+EACH = 32
 #: Bytes of vectors in a batch that a task sends on.
 SENT = 16 << 20
 
@@ -188,41 +189,48 @@ def block_pair(rows: pa.Table, cosine: float) -> pa.Table:
 
 
 class Space:
-    """How the vectors of one large label are dealt: cells around pivots, a cell's rings by the distance from its pivot, and a ring's
-    blocks by a hash. Blocks are numbered through all rings."""
+    """How the vectors of one large label are dealt: cells around pivots, a cell's rings by the distance from its pivot, rings of up to
+    `wide`; small rings share a block, those near their pivots apart from those far away; a large ring's vectors are dealt to blocks by
+    a hash."""
 
-    def __init__(self, centres: np.ndarray, bars: list[np.ndarray], block: int):
+    def __init__(self, centres: np.ndarray, bars: np.ndarray, block: int, wide: float = 0.19):
         """bars: for each cell, how many vectors there are in each of BARS ranges of the distance."""
         self.centres = centres
-        cell, low, high, blocks, self.ring_of = [], [], [], [], np.zeros((len(bars), BARS), np.int64)
-        for c, n in enumerate(bars):
-            held = 0
-            for k in range(BARS):
-                if not k or held and held + n[k] > block:
-                    cell.append(c)
-                    low.append(k)
-                    high.append(k)
-                    blocks.append(0)
-                    held = 0
-                held += n[k]
-                high[-1], blocks[-1] = k + 1, max(1, -(-int(held) // block))
-                self.ring_of[c, k] = len(cell) - 1
-        self.cell, self.blocks = np.array(cell), np.array(blocks)
-        self.low, self.high = np.array(low) * FARTHEST / BARS, np.array(high) * FARTHEST / BARS
-        self.first = np.cumsum(self.blocks) - self.blocks
-
-    def pairs(self, x: np.ndarray, number: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For vectors and hashes: each one's own block, and (row, block) wherever a block may hold something within eps of it. By the
+        step = max(1, int(wide * BARS / FARTHEST))
+        cell, bar = np.nonzero(bars)
+        # A ring begins with a cell's first range that isn't empty, and where the one before would get too wide.
+        rings, self.ring_of = [], np.full(bars.shape, -1, np.int64)
+        for c, k in zip(cell.tolist(), bar.tolist()):
+            if not rings or rings[-1][0] != c or k - rings[-1][1] >= step:
+                rings.append([c, k, k, 0])
+            rings[-1][2], rings[-1][3] = k, rings[-1][3] + int(bars[c, k])
+            self.ring_of[c, k] = len(rings) - 1
+        self.cell, low, high, n = (np.array(x) for x in zip(*rings))
+        self.low, self.high = low * FARTHEST / BARS, (high + 1) * FARTHEST / BARS
+        self.first, self.blocks, held, at = np.zeros(len(n), np.int64), np.ones(len(n), np.int64), 0, 0
+        for r in np.lexsort((self.cell, low)).tolist():
+            if held and held + n[r] > block:
+                at, held = at + 1, 0
+            self.first[r] = at
+            if n[r] > block:
+                self.blocks[r] = -(-int(n[r]) // block)
+                at += int(self.blocks[r])
+            else:
+                held += int(n[r])
+        self.n_blocks = at + bool(held)
+
+    def pairs(self, x: np.ndarray, cell: np.ndarray, bar: np.ndarray, number: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For vectors with cells, ranges and hashes: each one's own block, and (row, block) wherever a block may hold something within eps of it. By the
         triangle inequality such a thing is as far from its pivot as the vector is, give or take eps."""
         d = apart(x @ self.centres.T)
-        own_cell = d.argmin(1)
-        ring = self.ring_of[own_cell, bar_of(d[np.arange(len(x)), own_cell])]
+        ring = self.ring_of[cell, bar]
         own = self.first[ring] + number % self.blocks[ring]
         far = d[:, self.cell]
         row, near = np.nonzero((far >= self.low - eps - SLACK) & (far <= self.high + eps + SLACK))
         times = self.blocks[near]
-        start = np.repeat(self.first[near], times)
-        return own, np.repeat(row, times), start + np.arange(len(start)) - np.repeat(np.cumsum(times) - times, times)
+        block = np.repeat(self.first[near], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        both = np.unique(np.concatenate([np.repeat(row, times) * self.n_blocks + block, np.arange(len(x)) * self.n_blocks + own]))
+        return own, both // self.n_blocks, both % self.n_blocks
 
 
 #: Ranges of the distance from a pivot that are counted, and the farthest that unit vectors are apart, with room for rounding.
@@ -238,14 +246,15 @@ def flat(batch: pa.RecordBatch, at: np.ndarray) -> np.ndarray:
     return batch.column("unit").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
 
 
-def layout(vectors: DataFrame, block: int, pivots: int, pivot_bytes: int) -> dict[str, Space]:
-    """The large spaces of `vectors`. Every one has pivots, up to `pivots` and at least one, fewer for all where they would take more
+def layout(vectors: DataFrame, block: int, pivots: int, pivot_bytes: int) -> tuple[dict[str, Space], DataFrame]:
+    """The large spaces of `vectors`, and its rows with cell and bar, 0 outside them. Every one has pivots, up to `pivots` and at least one, fewer for all where they would take more
     than `pivot_bytes`; what the driver holds is a row for each large space, its pivots, and counts of ranges of their cells."""
     spark = vectors.sparkSession
     large = vectors.groupBy("space").agg(F.count("*").alias("n"), F.first(F.size("unit")).alias("size")).where(F.col("n") > block).collect()
     if not large:
-        return {}
-    want = {r.space: min(pivots, -(-r.n // block)) for r in large}
+        nothing = F.lit(0)
+        return {}, vectors.select("space", "unit", "id", "copies", nothing.alias("cell"), nothing.alias("bar"))
+    want = {r.space: min(pivots, -(-r.n // EACH)) for r in large}
     scale = min(1, pivot_bytes / sum(8 * r.size * want[r.space] for r in large))
     names = spark.createDataFrame([(s, max(1, int(w * scale))) for s, w in want.items()], "space string, want int")
     # The vector of least hash among each of `want` shares of a space.
@@ -255,31 +264,31 @@ def layout(vectors: DataFrame, block: int, pivots: int, pivot_bytes: int) -> dic
     chosen = {s: flat(got.combine_chunks().to_batches()[0], np.flatnonzero(spaces == s)) for s in want}
     shared = spark.sparkContext.broadcast(chosen)
 
-    def count(batches):
-        held: dict[str, np.ndarray] = {}
+    def to_cells(batches):
         for batch in batches:
             space = np.array(batch.column("space").to_pylist(), object)
-            for s in set(space.tolist()):
-                centres = shared.value[s]
-                d = apart(flat(batch, np.flatnonzero(space == s)) @ centres.T)
-                cell = d.argmin(1)
-                n = held.setdefault(s, np.zeros(len(centres) * BARS, np.int64))
-                n += np.bincount(cell * BARS + bar_of(d[np.arange(len(d)), cell]), minlength=len(n))
-        rows = [(s, int(k), int(n[k])) for s, n in held.items() for k in np.flatnonzero(n)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.string(), pa.int32(), pa.int64()))], ["space", "k", "n"])
-
-    counted = vectors.join(F.broadcast(names), "space").select("space", "unit").mapInArrow(count, "space string, k int, n long")
+            cell, bar = np.zeros((2, len(space)), np.int64)
+            for s in set(space.tolist()) & set(shared.value):
+                at = np.flatnonzero(space == s)
+                d = apart(flat(batch, at) @ shared.value[s].T)
+                cell[at] = d.argmin(1)
+                bar[at] = bar_of(d[np.arange(len(at)), cell[at]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(bar, pa.int32())], [*batch.schema.names, "cell", "bar"])
+
+    # Kept, so that a vector's ring is that by which it was counted, whatever rounding does in another batch.
+    celled = cut(vectors.select("space", "unit", "id", "copies").mapInArrow(to_cells, "space string, unit array<double>, id long, copies long, cell int, bar int"))
     bars = {s: np.zeros((len(c), BARS), np.int64) for s, c in chosen.items()}
-    for r in counted.groupBy("space", "k").agg(F.sum("n").alias("n")).toLocalIterator():
-        bars[r.space][r.k // BARS, r.k % BARS] = r.n
+    for r in celled.join(F.broadcast(names), "space").groupBy("space", "cell", "bar").agg(F.count("*").alias("n")).toLocalIterator():
+        bars[r.space][r.cell, r.bar] = r.n
     shared.unpersist()
-    return {s: Space(c, list(bars[s]), block) for s, c in chosen.items()}
+    return {s: Space(c, bars[s], block) for s, c in chosen.items()}, celled
 
 
 def links(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int = PIVOTS, pivot_bytes: int = PIVOT_BYTES) -> DataFrame:
     """Partial results of all pairs of blocks. vectors: distinct (space, unit) with id and copies."""
     spark, eps = vectors.sparkSession, math.sqrt(2 - 2 * cosine)
-    shared = spark.sparkContext.broadcast(layout(vectors, block, pivots, pivot_bytes))
+    spaces, celled = layout(vectors, block, pivots, pivot_bytes)
+    shared = spark.sparkContext.broadcast(spaces)
 
     def to_pairs(batches):
         """A vector for each block that it may have links in, with the pair of that block and its own."""
@@ -295,12 +304,13 @@ def links(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int = P
             rest = np.setdiff1d(np.arange(len(space)), np.concatenate([np.empty(0, np.int64), *known.values()]))
             if len(rest):
                 yield out(batch, rest, ["0-0"] * len(rest), np.zeros(len(rest)), np.ones(len(rest), bool))
+            cell, bar = (batch.column(c).to_numpy() for c in ("cell", "bar"))
             number = (batch.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
             for s, at in known.items():
                 for a in range(0, len(at), 256):
                     rows = at[a : a + 256]
                     x = flat(batch, rows)
-                    own, row, other = shared.value[s].pairs(x, number[rows], eps)
+                    own, row, other = shared.value[s].pairs(x, cell[rows], bar[rows], number[rows], eps)
                     mine = own[row]
                     low, high = np.minimum(mine, other), np.maximum(mine, other)
                     step = max(1, SENT // (8 * x.shape[1] + 100))  # rows of a batch that is sent
@@ -310,7 +320,7 @@ def links(vectors: DataFrame, cosine: float, block: int = BLOCK, pivots: int = P
                         yield out(batch, rows[row[cut_]], key, mine[cut_] > other[cut_], mine[cut_] == other[cut_])
 
     kind = "space string, id long, copies long, unit array<double>, key string, side int, alone boolean"
-    pairs = vectors.select("space", "unit", "id", "copies").mapInArrow(to_pairs, kind)
+    pairs = celled.mapInArrow(to_pairs, kind)
     return pairs.groupBy("space", "key").applyInArrow(lambda t: block_pair(t, cosine), "id long, other long, n long")
 
 

@@ -453,11 +453,11 @@ def test_rings_hold_all_that_may_link():
         centres = x[rng.choice(500, 4, replace=False)]
         d = cover_tree.apart(x @ centres.T)
         cell = d.argmin(1)
-        bars = [np.bincount(cover_tree.bar_of(d[cell == c, c]), minlength=cover_tree.BARS) for c in range(4)]
+        bars = np.array([np.bincount(cover_tree.bar_of(d[cell == c, c]), minlength=cover_tree.BARS) for c in range(4)])
         space = cover_tree.Space(centres, bars, 30)
         number = rng.integers(0, 1 << 40, 500)
-        own, row, block = space.pairs(x, number, eps)
-        meets = np.zeros((500, space.blocks.sum()), bool)
+        own, row, block = space.pairs(x, cell, cover_tree.bar_of(d[np.arange(500), cell]), number, eps)
+        meets = np.zeros((500, space.n_blocks), bool)
         meets[row, block] = True
         assert meets.sum() == len(row) and meets[np.arange(500), own].all()
         u, v = np.nonzero(x @ x.T >= 0.93)
@@ -474,7 +474,7 @@ def test_cover_tree_of_many_labels_with_pivots(spark):
     hit = (u @ u.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
     root = least_reachable(len(x), list(zip(*np.nonzero(np.triu(hit)))))
     vectors_ = df.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("space"), cover_tree.unit(F.col("embedding")).alias("unit"), F.lit(1).cast("long").alias("copies"))
-    made = cover_tree.layout(vectors_, 20, 8, 2 * 6 * 8 * 5)
+    made, _ = cover_tree.layout(vectors_, 20, 8, 2 * 6 * 8 * 5)
     assert len(made) == 6 and all(1 <= len(s.centres) <= 2 for s in made.values())
     got = cover_tree.near_vectors(df, block=20, pivots=8).orderBy("vec_id").collect()
     assert [(r.n_links, r.component_id) for r in got] == list(zip(hit.sum(1).tolist(), root))
