@@ -230,6 +230,34 @@ def test_containment(spark):
         assert sorted(map(tuple, x.select("chr", "pos", "qlen", "r_start", "r_end").collect())) == brute
 
 
+def test_containment_counted_without_pairs(spark):
+    rng = random.Random(4)
+    reads = [("a", 100, 100), ("a", 100, 100), (None, 1, 1), ("a", None, 1), ("a", 1, None), ("a", -9, 300), ("b", 5, -2)]
+    reads += [(rng.choice("abd"), rng.randint(-50, 600), rng.choice([0, 1, rng.randint(0, 60), rng.randint(0, 400)])) for _ in range(400)]
+    regs = [("a", 100, 200, "x"), ("a", None, 9, "x"), ("a", 9, None, "x"), ("e", 0, 900, "x"), ("a", 40, 30, "z"), ("b", -70, 500, None)]
+    regs += [(rng.choice("abc"), s := rng.randint(-60, 500), s + rng.choice([0, 1, rng.randint(0, 30), rng.randint(0, 300)]), rng.choice("xy")) for _ in range(200)]
+    r, q = spark.createDataFrame(regs, "chr string, start long, end long, kind string"), spark.createDataFrame(reads, "chr string, pos long, qlen int")
+    brute = {}
+    for c, p, n in reads:
+        for d, s, e, k in regs:
+            if None not in (c, p, n, s, e) and c == d and p >= s and p + n <= e:
+                m, t = brute.get((c, k), (0, 0))
+                brute[c, k] = (m + 1, t + p)
+    for width in (1 << 16, 64, 1):
+        assert {(x.chr, x.kind): (x.n, x.places) for x in overlap.contained_totals(q, r, "kind", width).collect()} == brute
+    none = q.where("pos is null and qlen > 5")
+    assert not overlap.contained_totals(none, r, "kind").count() and not overlap.contained_totals(q, r.where("start = 1e6"), "kind").count()
+
+
+@pytest.mark.parametrize("name", ["overlap_binned"])
+def test_containment_makes_no_pairs(spark, name):
+    from readloom.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert joins and not any("<=" in x or ">=" in x for x in joins)
+
+
 def test_corpus_windows(spark):
     rows = [(i, t) for i, t in enumerate([">chr1", "ACGT", "AC", "GT", "NAC", "ACG"])]
     got = corpus.windows(spark.createDataFrame(rows, "line_no long, line string"), 4, 3).collect()
