@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType
 
 REQUIRED = ("chr", "start", "end", "ctype")
 
@@ -35,8 +36,10 @@ def harmonise_contigs(genome: DataFrame, with_prefix: bool, column: str = "conti
 
 def rank_regions(regions: DataFrame) -> DataFrame:
     """Adds the magnitude of areaStat, else of diff.Methy, and the rank by it, largest first, missing last, ties
-    by contig and start. Without either statistic the rank is by contig and start."""
-    order = [F.col("chr"), F.col("start"), F.col("end")]
+    by contig, start and end, then by the other columns as they come. Without either statistic the rank is by contig and start."""
+    # Regions that are alike in all of these are alike throughout, so that the rank doesn't hang on the order of rows.
+    sortable = [f.name for f in regions.schema if isinstance(f.dataType, AtomicType) or isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, AtomicType)]
+    order = [F.col("chr"), F.col("start"), F.col("end"), *(F.col(f"`{c}`") for c in sortable if c not in ("chr", "start", "end"))]
     for stat in ("areaStat", "diff.Methy"):
         if stat in regions.columns:
             regions = regions.withColumn(f"abs_{stat}", F.abs(F.col(f"`{stat}`").cast("double")))

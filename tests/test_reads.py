@@ -258,6 +258,12 @@ def test_containment_makes_no_pairs(spark, name):
     assert joins and not any("<=" in x or ">=" in x for x in joins)
 
 
+def test_regions_alike_in_place_and_strength(spark):
+    rows = [("chr1", 1, 9, "T", 3.0, i) for i in range(50)]
+    df = spark.createDataFrame(rows[::-1], "chr string, start long, end long, ctype string, areaStat double, name long")
+    assert [(x.name, x.dmr_id) for x in regions.top_regions(df.repartition(4), 10).collect()] == [(i, i) for i in range(10)]
+
+
 def test_corpus_windows(spark):
     rows = [(i, t) for i, t in enumerate([">chr1", "ACGT", "AC", "GT", "NAC", "ACG"])]
     got = corpus.windows(spark.createDataFrame(rows, "line_no long, line string"), 4, 3).collect()
