@@ -105,9 +105,9 @@ def chain(words: list[list[bytes]], symbols: Memoised) -> tuple[np.ndarray, np.n
     """The symbols of texts, each with its end, in one array; before the first are two ends. And lengths."""
     n = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     out = np.zeros(n.sum() + 2, np.uint16)
-    at = 2
+    at, of = 2, symbols.__getitem__
     for w in words:
-        out[at : at + len(w)] = [symbols[x] for x in w]
+        out[at : at + len(w)] = list(map(of, w))
         at += len(w) + 1
     return out, n
 
@@ -120,11 +120,15 @@ def contexts(s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers and the sums of their rows."""
+    """Distinct numbers and the sums of their rows. Two floats of a row are added at a time, as the parts of
+    a complex number, since a sum's cost here is that of its start."""
+    if rows.shape[1] % 2:
+        at, more = summed(at, np.column_stack([rows, np.zeros(len(rows), rows.dtype)]))
+        return at, more[:, :-1]
     order = np.argsort(at, kind="stable")  # of 16-bit numbers, hence in linear time
     at = at[order]
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    return at[first], np.add.reduceat(rows[order], first, axis=0)
+    return at[first].astype(np.intp), np.add.reduceat(rows.view(np.result_type(rows, np.complex64)).take(order, axis=0), first, axis=0).view(rows.dtype)
 
 
 #: Rows of a product that stay on one thread: more threads than a task has cores only cost time.
@@ -160,31 +164,38 @@ class LogBilinear:
 
     def move(self, k: int, at, g: np.ndarray, rate: float) -> None:
         """A step up a part's gradient, slower where there were large ones."""
-        seen = self.seen[k][at] + g * g
-        self.seen[k][at] = seen
-        self.parts[k][at] += rate * g / np.sqrt(seen)
+        by = g * g
+        by += self.seen[k][at]
+        self.seen[k][at] = by
+        np.sqrt(by, out=by)
+        np.divide(g, by, out=by)
+        by *= np.float32(rate)
+        self.parts[k][at] += by
 
     def step(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, drawn: np.ndarray, noise: int, rate: float) -> None:
         """Words against `noise` draws each; the draws of a step are shared and weigh as many as there should be."""
         context, target, c1, c2, bias = self.parts
-        r1, r2, t, d = context[one], context[two], target[word], target[drawn]
+        r1, r2, t, d = (x.take(at, axis=0) for x, at in ((context, one), (context, two), (target, word), (target, drawn)))
         made = times(r1, c1) + times(r2, c2)
         shift = bias - np.log(noise * self.q)
         # The chance that a pair is noise, for words; that it is data, for draws.
         up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", made, t) + shift[word], -30, 30)))
-        down = times(made, d.T)
-        down += shift[drawn]
-        np.negative(down, out=down)
+        down = times(made, -d.T)
+        down -= shift[drawn]
         np.exp(np.clip(down, -30, 30, out=down), out=down)
         down += 1
-        np.reciprocal(down, out=down)
-        down *= np.float32(-noise / len(drawn))
+        np.divide(np.float32(-noise / len(drawn)), down, out=down)
         back = up[:, None] * t + times(down, d)
         at, g = summed(np.concatenate([one, two]), np.concatenate([times(back, c1.T), times(back, c2.T)]))
         g1, g2 = over(r1, back), over(r2, back)
-        to, h = summed(np.concatenate([word, drawn]), np.concatenate([np.column_stack([up[:, None] * made, up]), np.column_stack([over(down, made), down.sum(0)])]))
+        n, width = made.shape
+        rows = np.zeros((n + len(drawn), width + 2 - width % 2), made.dtype)  # of even length; the last is the bias's
+        np.multiply(made, up[:, None], out=rows[:n, :width])
+        rows[n:, :width] = over(down, made)
+        rows[:n, -1], rows[n:, -1] = up, down.sum(0)
+        to, h = summed(np.concatenate([word, drawn]), rows)
         self.move(0, at, g, rate)
-        self.move(1, to, h[:, :-1], rate)
+        self.move(1, to, h[:, :width], rate)
         self.move(2, slice(None), g1, rate)
         self.move(3, slice(None), g2, rate)
         self.move(4, to, h[:, -1], rate)

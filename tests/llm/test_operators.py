@@ -625,6 +625,17 @@ def test_log_bilinear_steps_follow_the_gradient():
             assert abs((objective(moved) - objective(parts)) / 1e-6 - got[k][i]) < 1e-3
 
 
+@pytest.mark.parametrize("width", [1, 4, 33])
+def test_sums_of_rows(width):
+    rng = np.random.default_rng(width)
+    at, rows = rng.integers(0, 40, 500).astype(np.uint16), rng.normal(size=(500, width)).astype(np.float32)
+    expected = np.zeros((40, width))
+    np.add.at(expected, at, rows)
+    numbers, got = lbl_lm.summed(at, rows)
+    assert numbers.tolist() == sorted(set(at.tolist())) and got.dtype == np.float32
+    assert np.abs(got - expected[numbers]).max() < 1e-4
+
+
 def test_contexts_begin_anew_with_each_text():
     v = lbl_lm.Vocabulary([b"a", b"b", b"c"], 1)
     s, n = lbl_lm.chain([[b"a", b"b", b"c"], [], [b"c", b"a"]], lbl_lm.Memoised(v))
