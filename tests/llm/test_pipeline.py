@@ -6,7 +6,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from readloom.llm import mixing, quality_crf, simhash
@@ -115,6 +117,24 @@ def test_repeated_ids_lose_copies_only(spark):
     assert Counter(map(tuple, both.collect())) == Counter([(5, a), (5, b)])
 
 
+@pytest.mark.parametrize("copies", [1, 9])
+def test_near_duplicates_shuffle_no_texts(spark, copies):
+    """Whichever are fewer, ids that go or ids that stay; beyond `few` the rows are the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.range(copies).withColumnRenamed("id", "k")
+    docs = docs.crossJoin(more).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id") + F.col("k") * 1000)).drop("k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, none = simhash.one_of_each(docs), simhash.one_of_each(docs, few=0)
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (few, none)]
+        rows = [Counter(map(tuple, x.collect())) for x in (few, none)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plans[0] and "BroadcastHashJoin" in plans[0] and "hashpartitioning" in plans[1]
+    assert ("LeftAnti" in plans[0]) == (copies == 1) and few.columns == docs.columns
+    assert rows[0] == rows[1] and sum(n for r, n in rows[0].items() if r[0] is None) == 4 * copies
+
+
 def test_registered():
     import __spark_entry__
 
