@@ -138,7 +138,7 @@ class Lines:
 
 def places(doc: np.ndarray) -> np.ndarray:
     """The place of each line in its document."""
-    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    first = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))  # the first line begins a document, whatever its number
     return np.arange(len(doc)) - np.repeat(first, np.diff(first, append=len(doc)))
 
 

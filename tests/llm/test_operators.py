@@ -806,3 +806,16 @@ def test_ordinary_images():
     for (data, luma), got in zip(made, jpeg_dc.read_many([d for d, _ in made])):
         (image, thumb), = got
         assert (image.width, image.height) == (43, 29) and (thumb == luma).all()
+
+
+def test_two_documents_score_as_they_do_alone():
+    rng = np.random.default_rng(5)
+    model = quality_crf.Model(rng.normal(0, 0.3, quality_crf.N_WEIGHTS), rng.normal(0, 1, (2, 2)))
+    line = lambda k: " ".join(["Word", "x#", "!! |", "ten 10 10", "and so it is."][: k % 5 + 1])
+    texts = ["\n".join(line(a + i) for i in range(n)).encode() for a, n in ((0, 9), (3, 8), (1, 1), (2, 1), (4, 3))]
+    alone = np.array([model.scores([t])[0] for t in texts])
+    for n in range(1, len(texts) + 1):
+        for which in itertools.permutations(range(len(texts)), n):
+            assert np.allclose(model.scores([texts[i] for i in which]), alone[list(which)], rtol=0, atol=1e-12)
+    for doc in ([1], [1, 1], [-1, -1, 0], [-1], []):
+        assert quality_crf.places(np.array(doc, np.int64)).tolist() == [doc[:i].count(d) for i, d in enumerate(doc)]
