@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.bpe_automaton import encode_decode
-from readloom.llm.common import delete, shared_dir, table
+from readloom.llm.common import delete, shared_dir, small_batches, table
 from readloom.llm.mixing import apply_mix
 from readloom.llm.quality_crf import keep_good, train
 from readloom.llm.simhash import one_of_each
@@ -40,7 +40,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("encoding", encoding)]
+STAGES = [(f.__name__, small_batches(f)) for f in (quality, near_duplicates, mixing, encoding)]
 #: Neither the classifier nor the encoding can be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,6 +48,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(stage: Callable[..., DataFrame], most: str = "4m") -> Callable[..., DataFrame]:
+    """The same stage, for which the session sends Python workers batches of about `most` bytes, unless a size is set: Spark's own 64 MB
+    are held several times, by the executor and each of its workers. The setting stays, since it holds when the rows are asked for."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, most)
+        return stage(spark, *args)
+
+    return run
+
+
 def without_shuffle_files(spark: SparkSession, action) -> None:
     """Runs a query whose shuffle files go as soon as it ends, where Spark knows that setting."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

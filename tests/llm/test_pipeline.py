@@ -135,6 +135,18 @@ def test_near_duplicates_shuffle_no_texts(spark, copies):
     assert rows[0] == rows[1] and sum(n for r, n in rows[0].items() if r[0] is None) == 4 * copies
 
 
+def test_stages_send_small_batches_unless_a_size_is_set(spark):
+    name, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    before = spark.conf.get(name, None)
+    try:
+        for size, held in ((None, "4m"), ("9m", "9m")):
+            spark.conf.set(name, size) if size else spark.conf.unset(name)
+            dict(corpus_pipeline.STAGES)["encoding"](spark, docs, SF)
+            assert spark.conf.get(name) == held
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def test_registered():
     import __spark_entry__
 
