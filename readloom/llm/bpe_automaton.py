@@ -21,14 +21,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import Memo, sliced, texts
+from readloom.llm.common import Memo, kept, lean, texts
 
 #: What a worker keeps: words and their ids, ids and their spelling, and states of the byte automaton.
 WORDS, STATES = 400_000, 200_000
@@ -228,7 +227,7 @@ class ByteBpe:
         return b"".join(map(self.automaton.spelled.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
+@kept
 def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
@@ -243,7 +242,7 @@ def encode_decode(df: DataFrame, path: str, id_column: str = "doc_id", text_colu
 
     def run(batches):
         bpe, sha = tokenizer(path), hashlib.sha256
-        for batch in sliced(batches):
+        for batch in lean(batches, keep=tokenizer):
             n, a, b, ids, back = [], [], [], [], []
             for text in texts(batch):
                 words = bpe.encode(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: The white space of every word rule here: space and the five controls from tab to carriage return.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Caches by which a worker keeps what an operator loads, from task to task.
+KEPT: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +100,30 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
+def kept(load: Callable) -> Callable:
+    """`load` with its last results cached, until `lean` is used for something else in the same process."""
+    KEPT.append(functools.lru_cache(maxsize=2)(load))
+    return KEPT[-1]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which else stays with the process (glibc, Arrow)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(batches: Iterable[pa.RecordBatch], column: str = "text", keep: Callable | None = None) -> Iterator[pa.RecordBatch]:
+    """`sliced` into smaller pieces, for workers that live on through several operators: first goes what other operators have
+    loaded than `keep`, and at the end freed memory goes back, so that a worker holds no more than the operator at work needs."""
+    for cache in KEPT:
+        if cache is not keep and cache.cache_info().currsize:
+            cache.cache_clear()
+    yield from sliced(batches, column, 1 << 18)
+    give_back()
+
+
 class Memo(dict):
     """Words to what `make` gives for them. Long words aren't kept. `trim` sets a full half aside,
     dropping the half set aside before, from which words still in use come back: memory is bounded

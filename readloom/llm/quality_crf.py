@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import sliced
+from readloom.llm.common import lean
 
 UPPER, LOWER, DIGIT, STOP, SYMBOL, PIPE, SHOUT, HIGH, SPACE = range(9)
 CLASS = np.full(256, SYMBOL, np.uint8)
@@ -323,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000, id_column: str =
     chosen = docs.select(F.col(id_column), F.col(text_column).alias("text")).join(F.broadcast(known), id_column)  # at most `most` rows
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in lean(batches):
             lines = Lines(batch.column("text").cast(pa.binary()).to_pylist())
             at = np.searchsorted(lines.doc, np.arange(lines.docs + 1))
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("y"), pa.array([lines.bins[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()), pa.array([lines.size[a:b].astype("<i8").tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["i", "y", "bins", "size"])
@@ -344,7 +344,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, id_column: str
     taken in pieces. A narrow pass without a shuffle."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in lean(batches):
             s = model.scores(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.float64())], ["id", "score"])
 
@@ -357,7 +357,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7, text_column
     line; repeated rows stay or go together; an empty table gives no rows."""
 
     def run(batches):
-        for batch in sliced(batches, text_column):
+        for batch in lean(batches, text_column):
             yield batch.filter(pa.array(model.scores(batch.column(text_column).cast(pa.binary()).to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

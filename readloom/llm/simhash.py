@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_digest
 
-from readloom.llm.common import UPPER, components, cut, sliced
+from readloom.llm.common import UPPER, components, cut, lean
 
 BYTES, MOST = 8, 3
 LEAST_SHARED = BYTES - MOST
@@ -103,7 +103,7 @@ def fingerprints(df: DataFrame, words: int = 3, id_column: str = "doc_id", text_
     """(id, fp) for every row, fp a signed long. Null counts as an empty text."""
 
     def run(batches):
-        for batch in sliced(batches):
+        for batch in lean(batches):
             fp = fingerprints_of(batch.column("text").cast(pa.binary()).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp, pa.int64())], ["id", "fp"])
 
@@ -234,7 +234,7 @@ def with_fingerprint(df: DataFrame, words: int, text_column: str) -> DataFrame:
     """All columns and _fp."""
 
     def run(batches):
-        for batch in sliced(batches, text_column):
+        for batch in lean(batches, text_column):
             fp = fingerprints_of(batch.column(text_column).cast(pa.binary()).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp, pa.int64())], [*batch.schema.names, "_fp"])
 

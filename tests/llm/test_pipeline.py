@@ -1,17 +1,19 @@
 """The corpus pipeline's stages against plain statements of what each keeps."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from readloom.llm import mixing, quality_crf, simhash
+from readloom.llm import bpe_automaton, mixing, quality_crf, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -147,6 +149,46 @@ def test_stages_send_small_batches_unless_a_size_is_set(spark):
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
+class Caught:
+    """In the place of a DataFrame: gives the function that workers would run."""
+
+    schema, columns = {"doc_id": type("Id", (), {"dataType": type("Long", (), {"simpleString": lambda _: "bigint"})()})()}, ["doc_id", "text"]
+
+    def select(self, *_):
+        return self
+
+    def withColumnRenamed(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_a_worker_holds_little_and_nothing_of_another_stage(spark):
+    """One worker serves all stages, so what one leaves there adds to the next."""
+    texts = [("Some words of a line, 17 of them.\n" * 40 + str(k)) for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts)], ["id", "text"])
+    encoding, quality, near = (f(Caught()).run for f in (lambda d: bpe_automaton.encode_decode(d, P.path("byte_bpe_50k.json")), lambda d: quality_crf.keep_good(d, quality_crf.Model()), simhash.fingerprints))
+    for run in (quality, near):
+        list(encoding([batch.slice(0, 2)]))
+        assert bpe_automaton.tokenizer.cache_info().currsize == 1
+        list(run([batch.slice(0, 2)]))
+        assert bpe_automaton.tokenizer.cache_info().currsize == 0
+    list(encoding([batch.slice(0, 2)]))
+    loaded = bpe_automaton.tokenizer(P.path("byte_bpe_50k.json"))
+    list(encoding([batch.slice(0, 2)]))
+    assert bpe_automaton.tokenizer(P.path("byte_bpe_50k.json")) is loaded
+    tracemalloc.start()
+    try:
+        for _ in quality([batch]):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 50e6, most
+
+
 def test_registered():
     import __spark_entry__
 
